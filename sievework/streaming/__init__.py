@@ -1,0 +1 @@
+"""No streaming operators: every cleaning job reads a bounded table, graph or image folder."""
