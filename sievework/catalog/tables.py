@@ -350,16 +350,16 @@ def i5(spark, sf):
 
 # Customers and suppliers with planted gaps in three numeric columns.
 KNN_SQL = """(SELECT c_custkey AS _row_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS a,
- CASE WHEN c_custkey % 11 = 3 THEN NULL ELSE CAST(c_nationkey AS DOUBLE) END AS b, CASE WHEN c_custkey % 13 = 5 THEN NULL ELSE CAST(n AS DOUBLE) END AS d
- FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
+ CASE WHEN c_custkey % 11 = 3 THEN NULL ELSE m END AS b, CASE WHEN c_custkey % 13 = 5 THEN NULL ELSE CAST(n AS DOUBLE) END AS d
+ FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS n, max(o_totalprice) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
 
 
 def knn_input(spark, sf):
     k = F.col("c_custkey")
-    spend = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("n"))
+    spend = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("n"), F.max("o_totalprice").alias("m"))
     return table(spark, sf, "customer").join(spend, F.col("o_custkey") == k).select(
         k.alias(ROW_ID), F.when(k % 9 != 0, F.col("c_acctbal")).alias("a"),
-        F.when(k % 11 != 3, F.col("c_nationkey").cast("double")).alias("b"), F.when(k % 13 != 5, F.col("n")).alias("d"))
+        F.when(k % 11 != 3, F.col("m")).alias("b"), F.when(k % 13 != 5, F.col("n")).alias("d"))
 
 
 def _knn_sql(k: int) -> str:

@@ -110,7 +110,7 @@ def noise_points(points: DataFrame, coords: list[str], eps: float = 0.5, min_sam
     return points.join(noise.select(*coords), coords, "left_semi").select(ROW_ID)
 
 
-def _linked_cells(grid: _Grid, core: DataFrame, rounds: int = 16) -> DataFrame:
+def _linked_cells(grid: _Grid, core: DataFrame, rounds: int = 8) -> DataFrame:
     """Pairs of neighbouring cells that hold core points within eps of each other.
 
     Cells are compared through ever smaller boxes: far box pairs drop out, close ones settle the
@@ -127,7 +127,7 @@ def _linked_cells(grid: _Grid, core: DataFrame, rounds: int = 16) -> DataFrame:
     pairs = pairs.filter(F.struct(*name_a) < F.struct(*name_b))
 
     def boxed(level: int) -> DataFrame:
-        size = grid.side / 2**level
+        size = grid.side / 4**level
         return core.groupBy(*cells, *[F.floor(F.col(x) / size).cast("long").alias(f"x{i}") for i, x in enumerate(grid.coords)]).agg(
             *[f(x).alias(f"{p}{i}") for i, x in enumerate(grid.coords) for p, f in (("lo", F.min), ("hi", F.max))],
             F.count("*").alias("_n"),
@@ -147,8 +147,8 @@ def _linked_cells(grid: _Grid, core: DataFrame, rounds: int = 16) -> DataFrame:
             cand = undecided.join(side_a, name_a).join(side_b, name_b)
         else:
             pa, pb = [f"pa{i}" for i in range(d)], [f"pb{i}" for i in range(d)]
-            side_a = side_a.select("*", *[F.shiftright(F.col(f"ax{i}"), 1).alias(pa[i]) for i in range(d)])
-            side_b = side_b.select("*", *[F.shiftright(F.col(f"bx{i}"), 1).alias(pb[i]) for i in range(d)])
+            side_a = side_a.select("*", *[F.shiftright(F.col(f"ax{i}"), 2).alias(pa[i]) for i in range(d)])
+            side_b = side_b.select("*", *[F.shiftright(F.col(f"bx{i}"), 2).alias(pb[i]) for i in range(d)])
             cand = parents.join(side_a, [*name_a, *pa]).join(side_b, [*name_b, *pb])
         gap = [F.greatest(F.col(f"alo{i}") - F.col(f"bhi{i}"), F.col(f"blo{i}") - F.col(f"ahi{i}"), F.lit(0.0)) for i in range(d)]
         far = [F.greatest(F.col(f"ahi{i}") - F.col(f"blo{i}"), F.col(f"bhi{i}") - F.col(f"alo{i}")) for i in range(d)]
@@ -166,7 +166,7 @@ def _linked_cells(grid: _Grid, core: DataFrame, rounds: int = 16) -> DataFrame:
         )
         if parents.isEmpty():
             return linked
-    size = grid.side / 2 ** (rounds - 1)
+    size = grid.side / 4 ** (rounds - 1)
     inner = core.select(*cells, *grid.coords, *[F.floor(F.col(x) / size).cast("long").alias(f"x{i}") for i, x in enumerate(grid.coords)])
     side_a = inner.select(*[F.col(n).alias(a) for n, a in zip(cells, name_a)], *[F.col(f"x{i}").alias(f"pa{i}") for i in range(d)], *[F.col(x).alias(f"ya{i}") for i, x in enumerate(grid.coords)])
     side_b = inner.select(*[F.col(n).alias(b) for n, b in zip(cells, name_b)], *[F.col(f"x{i}").alias(f"pb{i}") for i in range(d)], *[F.col(x).alias(f"yb{i}") for i, x in enumerate(grid.coords)])
