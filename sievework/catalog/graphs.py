@@ -302,8 +302,8 @@ def g20(spark, sf):
 
 
 PR_SQL = f"""WITH RECURSIVE {USERS}, o AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1), pr(i, id, x) AS (SELECT 0, id, 1.0::DOUBLE / n FROM v, nn UNION ALL
- SELECT i + 1, id, 0.15 / n + 0.85 * (s + dangling / n) FROM (SELECT p.i, p.id, n, coalesce((SELECT sum(q.x / o.k) FROM pr q JOIN e ON e.src = q.id JOIN o ON o.id = q.id WHERE e.dst = p.id), 0) AS s,
- coalesce((SELECT sum(q.x) FROM pr q WHERE q.id NOT IN (SELECT id FROM o)), 0) AS dangling FROM pr p, nn WHERE p.i < 80))"""
+ SELECT i, id, 0.15 / n + 0.85 * (s + sum(lost) OVER () / n) FROM (SELECT p.i + 1 AS i, p.id, coalesce(q.s, 0) AS s, CASE WHEN o.k IS NULL THEN p.x ELSE 0 END AS lost
+ FROM pr p LEFT JOIN o ON o.id = p.id LEFT JOIN (SELECT e.dst AS id, sum(r.x / o.k) AS s FROM pr r JOIN e ON e.src = r.id JOIN o ON o.id = r.id GROUP BY 1) q ON q.id = p.id WHERE p.i < 80), nn)"""
 
 
 @query("g21_pagerank", PR_SQL + " SELECT id, round(x, 6) AS pagerank FROM pr WHERE i = 80")

@@ -15,7 +15,7 @@ from sievework.operators import metrics
 from sievework.session import cut
 
 PIXEL = "CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 0.6) / 1.2 * 255))) AS INT)"
-TILES = """px AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 0.6) / 1.2 * 255))) AS INTEGER)) AS p FROM embeddings),
+TILES = """px AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 0.6) / 1.2 * 255))) AS INTEGER)) AS p FROM embeddings),
  cells AS (SELECT vec_id, CAST(i AS INTEGER) AS i, p[i + 1] AS v, p[CASE WHEN i // 8 = 0 THEN i + 8 ELSE i - 8 END + 1] + p[CASE WHEN i // 8 = 7 THEN i - 8 ELSE i + 8 END + 1] + p[CASE WHEN i % 8 = 0 THEN i + 1 ELSE i - 1 END + 1] + p[CASE WHEN i % 8 = 7 THEN i - 1 ELSE i + 1 END + 1] - 4 * p[i + 1] AS l FROM px, range(64) t(i)),
  m AS (SELECT vec_id, avg(v) AS brightness, stddev_pop(v) AS contrast, var_pop(l) AS blur FROM cells GROUP BY 1),
  h AS (SELECT vec_id, string_agg(CASE WHEN v > brightness THEN '1' ELSE '0' END, '' ORDER BY i) AS image_hash FROM cells JOIN m USING (vec_id) GROUP BY 1)"""
