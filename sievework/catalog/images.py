@@ -14,6 +14,7 @@ from sievework.operators import images as im
 from sievework.operators import metrics
 from sievework.session import cut
 
+# Variances of 64 integers are multiples of 1/4096, so blur compares as an exact integer.
 PIXEL = "CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 0.6) / 1.2 * 255))) AS INT)"
 TILES = """px AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 0.6) / 1.2 * 255))) AS INTEGER)) AS p FROM embeddings),
  cells AS (SELECT vec_id, CAST(i AS INTEGER) AS i, p[i + 1] AS v, p[CASE WHEN i // 8 = 0 THEN i + 8 ELSE i - 8 END + 1] + p[CASE WHEN i // 8 = 7 THEN i - 8 ELSE i + 8 END + 1] + p[CASE WHEN i % 8 = 0 THEN i + 1 ELSE i - 1 END + 1] + p[CASE WHEN i % 8 = 7 THEN i - 1 ELSE i + 1 END + 1] - 4 * p[i + 1] AS l FROM px, range(64) t(i)),
@@ -47,9 +48,9 @@ def v1(spark, sf):
     return im.analyze_images(texts(spark, sf)).selectExpr("filename", "width", "height", "file_size", "round(aspect_ratio, 6) AS aspect_ratio", "resolution")
 
 
-@query("v2_blur_score", f"WITH {TILES} SELECT {NAME} AS filename, round(blur, 4) AS blur_score FROM m")
+@query("v2_blur_score", f"WITH {TILES} SELECT {NAME} AS filename, CAST(round(blur * 4096) AS BIGINT) AS blur_4096 FROM m")
 def v2(spark, sf):
-    return tile_metrics(spark, sf).selectExpr("filename", "round(blur_score, 4) AS blur_score")
+    return tile_metrics(spark, sf).selectExpr("filename", "CAST(round(blur_score * 4096) AS LONG) AS blur_4096")
 
 
 @query("v3_brightness", f"WITH {TILES} SELECT {NAME} AS filename, round(brightness, 4) AS brightness FROM m")
@@ -73,9 +74,9 @@ def v6(spark, sf):
     return tile_metrics(spark, sf).select("filename", "image_hash")
 
 
-@query("v7_analyze_images", f"WITH {TILES} SELECT {NAME} AS filename, 8 AS width, 8 AS height, 64 AS resolution, round(brightness, 4) AS brightness, round(contrast, 4) AS contrast, round(blur, 4) AS blur_score, image_hash, false AS is_corrupted FROM m JOIN h USING (vec_id)")
+@query("v7_analyze_images", f"WITH {TILES} SELECT {NAME} AS filename, 8 AS width, 8 AS height, 64 AS resolution, round(brightness, 4) AS brightness, round(contrast, 4) AS contrast, CAST(round(blur * 4096) AS BIGINT) AS blur_4096, image_hash, false AS is_corrupted FROM m JOIN h USING (vec_id)")
 def v7(spark, sf):
-    return tile_metrics(spark, sf).selectExpr("filename", "width", "height", "resolution", "round(brightness, 4) AS brightness", "round(contrast, 4) AS contrast", "round(blur_score, 4) AS blur_score", "image_hash", "is_corrupted")
+    return tile_metrics(spark, sf).selectExpr("filename", "width", "height", "resolution", "round(brightness, 4) AS brightness", "round(contrast, 4) AS contrast", "CAST(round(blur_score * 4096) AS LONG) AS blur_4096", "image_hash", "is_corrupted")
 
 
 LIMITS = {"min_resolution": 16, "min_blur": 12000, "min_brightness": 124, "max_brightness": 131, "min_contrast": 25}
