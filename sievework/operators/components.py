@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import cut
+from sievework.session import cut, discard
 
 
 def min_label_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -35,7 +35,8 @@ def min_label_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
             F.col("m").alias("lo"), F.col("lo").alias("hi")
         )
         kept = small_low.select(F.col("m").alias("lo"), F.col("u").alias("hi"))
-        pairs = cut(moved.unionByName(kept).distinct())
+        before, pairs = pairs, cut(moved.unionByName(kept).distinct())
+        discard(before)
         now = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("lo", "hi")).alias("x")).first()
         if now == mark:
             break

@@ -10,7 +10,7 @@ from sievework.functions.columns import ROW_ID, c
 from sievework.operators.knn import nearest
 from sievework.operators.ordering import exact_quantiles
 from sievework.operators.profile import unpivot
-from sievework.session import cut
+from sievework.session import checkpointed, cut
 
 # Fixed values of the imputation policy.
 HIGH_MISSING_PCT = 5.0
@@ -87,7 +87,7 @@ def fill_forward_backward(df: DataFrame, cols: list[str]) -> DataFrame:
     Rows are range-partitioned once; each partition is summarised by its first and last known
     values and only these summaries (one row per partition) are carried across partitions.
     """
-    stored = cut(df.repartitionByRange(F.col(ROW_ID))).withColumn("_pid", F.spark_partition_id())
+    stored = checkpointed(df.repartitionByRange(F.col(ROW_ID))).withColumn("_pid", F.spark_partition_id())
     aggs = []
     for i, n in enumerate(cols):
         known = F.when(c(n).isNotNull(), F.col(ROW_ID))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions.columns import c, seeded_hash
-from sievework.session import cut
+from sievework.session import checkpointed
 
 # Up to this many values the built-in exact percentile aggregate is used directly.
 DIRECT_LIMIT = 1 << 20
@@ -15,7 +15,7 @@ DIRECT_LIMIT = 1 << 20
 
 def ordered_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """0-based position in the global order: one range shuffle plus a per-partition offset."""
-    stored = cut(df.orderBy(*order))
+    stored = checkpointed(df.orderBy(*order))
     keyed = stored.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_pos", F.monotonically_increasing_id()
     )
