@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     the columns asked for are read. Partitions and their order are not kept; see `checkpointed`.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._stored_at = path
     return stored
