@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import ann, chat, mixing, packing, quality, simhash, token_counts
+from sievework.llm import ann, chat, lm_score, mixing, packing, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("_cell_source").alias("source"), F.col("_cell_lang").alias("lang"), F.col("_cell_topic").alias("topic"),
         F.col("_tokens").alias("tokens"), F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"),
         F.col("_sampled").alias("sampled"))
+
+
+@query("op9_context_tree")
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
