@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import ann, chat, lm_score, mixing, packing, quality, simhash, token_counts
+from sievework.llm import ann, chat, lm_score, mixing, packing, quality, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_context_tree")
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", F.col("_toxic_held_out").alias("held_out"), F.col("_toxic_score").alias("score"), F.col("_toxic_predicted").alias("predicted"),
+        F.col("_toxic_spans").alias("spans"))
