@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sievework.llm.tokens import text_slices
+
 # The base patterns, in the order of their kinds; the ASCII flag keeps case folding to A-Z.
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -251,12 +253,18 @@ ADDED = "_n_assign long, _n_access long, _n_hex long, _n_learned long, _base_sha
 BLOCK = 4096  # windows judged at a time
 
 
-def scan(docs: DataFrame, net: Network, text_col: str = "text", redact: str | None = None) -> DataFrame:
-    """Every row with the columns of ADDED; `_redacted` is the text with all spans replaced, or null."""
+def scan(docs: DataFrame, net: Network, text_col: str = "text", redact: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Every row with the columns of ADDED; `_redacted` is the text with all spans replaced, or null.
+
+    Only the columns of `keep` come back with them (all if not given).
+    """
     added = [x.split()[0] for x in ADDED.split(", ")]
     docs = docs.drop(*added)
+    if keep is not None:
+        docs = docs.select(*[n for n in docs.columns if n in (*keep, text_col)])
     names = docs.columns
     at = names.index(text_col)
+    kept = [i for i, n in enumerate(names) if keep is None or n in keep]
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def learned(texts: list[str], bases: list[list]) -> list[list[tuple[int, int, int]]]:
@@ -285,18 +293,20 @@ def scan(docs: DataFrame, net: Network, text_col: str = "text", redact: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            bases = [base_spans(t) for t in texts]
-            counts = np.array([[sum(k == kind for *_, k in b) for kind in range(3)] for b in bases], np.int64).reshape(len(texts), 3)
-            more = learned(texts, bases)
-            spans = [b + m for b, m in zip(bases, more)]
-            clean = [cover(t, s, redact) for t, s in zip(texts, spans)] if redact is not None else [None] * len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(counts[:, k]) for k in range(3)), pa.array([len(m) for m in more], pa.int64()),
-                 pa.array([hashlib.sha256(join_spans(b).encode()).hexdigest() for b in bases], pa.string()), pa.array([join_spans(s) for s in spans], pa.string()), pa.array(clean, pa.string())],
-                names=[*names, *added])
-
-    schema = StructType(list(docs.schema.fields))
+            for part in text_slices(batch.column(at)):
+                own = batch.slice(part.start, part.stop - part.start)
+                texts = [t or "" for t in own.column(at).to_pylist()]
+                bases = [base_spans(t) for t in texts]
+                counts = np.array([[sum(k == kind for *_, k in b) for kind in range(3)] for b in bases], np.int64).reshape(len(texts), 3)
+                more = learned(texts, bases)
+                spans = [b + m for b, m in zip(bases, more)]
+                clean = [cover(t, s, redact) for t, s in zip(texts, spans)] if redact is not None else [None] * len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(i) for i in kept), *(pa.array(counts[:, k].copy()) for k in range(3)), pa.array([len(m) for m in more], pa.int64()),
+                     pa.array([hashlib.sha256(join_spans(b).encode()).hexdigest() for b in bases], pa.string()), pa.array([join_spans(s) for s in spans], pa.string()), pa.array(clean, pa.string())],
+                    names=[*(names[i] for i in kept), *added])
+
+    schema = StructType([docs.schema.fields[i] for i in kept])
     for piece in ADDED.split(", "):
         schema = schema.add(*piece.split())
     return docs.mapInArrow(run, schema)
@@ -312,7 +322,7 @@ def cover(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*out, text[done:]])
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", redact: str | None = None, max_docs: int = 8000) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", redact: str | None = None, max_docs: int = 8000, keep: list[str] | None = None) -> DataFrame:
     """Every row with counts of base spans by kind, a digest of them, all spans, and the redacted text.
 
     Base spans always stay; candidates elsewhere are added where the network's calibrated chance
@@ -323,4 +333,4 @@ def find_secrets(docs: DataFrame, text_col: str = "text", redact: str | None = N
     are judged in windows that together hold them whole; repeated rows are scanned each; ties in
     start go by kind; an empty table gives no rows; columns of the names added are replaced.
     """
-    return scan(docs, fit(docs, text_col, max_docs), text_col, redact)
+    return scan(docs, fit(docs, text_col, max_docs), text_col, redact, keep)

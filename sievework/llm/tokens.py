@@ -123,3 +123,18 @@ def encoder(path: str) -> ChunkEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
+
+
+def text_slices(column, most: int = 1 << 20):
+    """Runs of rows of an Arrow string column with about `most` bytes together, so that only they become Python strings."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin, used = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        used += n
+        if used >= most:
+            yield slice(begin, i + 1)
+            begin, used = i + 1, 0
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
