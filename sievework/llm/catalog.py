@@ -77,13 +77,13 @@ def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"]).select(
         "doc_id", F.col("_toxic_held_out").alias("held_out"), F.col("_toxic_score").alias("score"), F.col("_toxic_predicted").alias("predicted"),
         F.col("_toxic_spans").alias("spans"))
 
 
 @query("op5_secrets")
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc_id", F.col("_n_assign").alias("n_assign"), F.col("_n_access").alias("n_access"), F.col("_n_hex").alias("n_hex"),
         F.col("_base_sha256").alias("base_sha256"), F.col("_spans").alias("spans"), F.col("_n_learned").alias("n_learned"))

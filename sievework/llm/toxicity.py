@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sievework.llm.tokens import text_slices
+from sievework.session import cut, discard
+
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 18  # hashed features: the model has this size whatever the corpus
 AROUND = 12  # words on either side of a training window's middle
 WINDOWS = 3  # training windows of a document
 CUES = 20_000  # units kept to label the tokens of toxic training documents
-TEXT_CHARS = 4 << 20  # texts tagged at a time
 
 
 def features(word: str) -> list[int]:
@@ -137,7 +139,7 @@ def fit_document(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
 class Tagger:
     """Applies a chain to texts; emissions of words are kept in a table that is emptied when full."""
 
-    def __init__(self, chain: Chain, room: int = 500_000):
+    def __init__(self, chain: Chain, room: int = 200_000):
         self.chain, self.room, self.table = chain, room, {}
 
     def emission(self, words: list[str]) -> np.ndarray:
@@ -189,17 +191,6 @@ def spans_of(text: str, p: np.ndarray, threshold: float = 0.5) -> list[tuple[int
     return out
 
 
-def _parts(texts: list[str]) -> Iterator[slice]:
-    begin, used = 0, 0
-    for i, t in enumerate(texts):
-        used += len(t)
-        if used >= TEXT_CHARS:
-            yield slice(begin, i + 1)
-            begin, used = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def _strings(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
@@ -229,7 +220,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), batch.column(0), batch.column(1)], names=["sig", "text", "y"])
 
     signed = found.select("text", F.col("_y").alias("y")).mapInArrow(sign, "sig long, text string, y int")
-    return signed.groupBy("sig").agg(F.max_by("text", F.struct("y", F.length("text"), F.xxhash64("text"))).alias("text"), F.max("y").alias("y"))
+    best = F.max_by("text", F.struct("y", F.length("text"), F.xxhash64("text")))
+    return cut(signed.groupBy("sig").agg(best.alias("text"), F.max("y").alias("y")))
 
 
 def find_cues(sample: DataFrame) -> set[str]:
@@ -265,7 +257,7 @@ def find_cues(sample: DataFrame) -> set[str]:
 def training_windows(sample: DataFrame, cues: set[str]) -> list[tuple[list[str], list[bool]]]:
     """Token windows of the sample with labels: cue words of toxic documents are toxic, all else clean."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for sig, text, y in zip(batch.column(0).to_pylist(), _strings(batch.column(1)), batch.column(2).to_pylist()):
@@ -284,7 +276,7 @@ def training_windows(sample: DataFrame, cues: set[str]) -> list[tuple[list[str],
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.list_(pa.bool_()))],
                 names=["sig", "lo", "words", "marks"])
 
-    rows = sample.select("sig", "text", "y").mapInArrow(cut, "sig long, lo int, words array<string>, marks array<boolean>").collect()
+    rows = sample.select("sig", "text", "y").mapInArrow(windows_of, "sig long, lo int, words array<string>, marks array<boolean>").collect()
     return [(list(r["words"]), list(r["marks"])) for r in sorted(rows, key=lambda r: (r["sig"], r["lo"]))]
 
 
@@ -295,16 +287,19 @@ def fit(
     """A chain and its document score, fitted on a sample of at most about `max_rows` labelled rows.
 
     Labels tell documents, so tokens are labelled through them: in toxic documents the words marked by
-    a cue (a word or beginning of words far commoner in toxic documents), elsewhere none. Half of the
-    sample trains the chain, the other half calibrates the document score. Copies count once.
+    a cue (a word or beginning of words far commoner in toxic documents), elsewhere none. Three
+    quarters of the sample train the chain, the rest calibrates the document score. Copies count once.
     """
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows, seed)
-    halves = [sample.filter(F.pmod(F.xxhash64("sig"), F.lit(2)) == i) for i in (0, 1)]
-    cues = find_cues(halves[0])
+    apart = F.pmod(F.xxhash64("sig"), F.lit(4)) == 0
+    parts = [sample.filter(~apart), sample.filter(apart)]
+    cues = find_cues(parts[0])
     if not cues:
+        discard(sample)
         return Chain()
-    chain = fit_chain(training_windows(halves[0], cues))
-    rows = summaries(halves[1].select("text", "y"), chain, "text").select("y", "_toxic_total", "_toxic_most", "_toxic_words").collect()
+    chain = fit_chain(training_windows(parts[0], cues))
+    rows = summaries(parts[1], chain, "text", ["y"]).select("y", "_toxic_total", "_toxic_most", "_toxic_words").collect()
+    discard(sample)
     if not any(r["y"] for r in rows):
         return chain
     rows.sort(key=tuple)
@@ -316,20 +311,26 @@ def fit(
 ADDED = "_toxic_total double, _toxic_most double, _toxic_words long, _toxic_score double, _toxic_spans string"
 
 
-def summaries(docs: DataFrame, chain: Chain, text_col: str) -> DataFrame:
-    """Every row with the columns of ADDED: expected toxic words, the surest, words, score and spans."""
+def summaries(docs: DataFrame, chain: Chain, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """Every row with the columns of ADDED: expected toxic words, the surest, words, score and spans.
+
+    Only the columns of `keep` come back with them (all if not given).
+    """
     added = [x.split()[0] for x in ADDED.split(", ")]
     docs = docs.drop(*added)
+    if keep is not None:
+        docs = docs.select(*[n for n in docs.columns if n in (*keep, text_col)])
     fields = docs.schema.fieldNames()
     at = fields.index(text_col)
+    kept = [i for i, n in enumerate(fields) if keep is None or n in keep]
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model.value)
         for batch in batches:
-            texts = _strings(batch.column(at))
-            for part in _parts(texts):
-                mine = texts[part]
+            for part in text_slices(batch.column(at)):
+                own = batch.slice(part.start, part.stop - part.start)
+                mine = _strings(own.column(at))
                 tagged = tagger.tag(mine)
                 total = np.array([p.sum() for p in tagged])
                 most = np.array([p.max() if len(p) else 0.0 for p in tagged])
@@ -339,18 +340,17 @@ def summaries(docs: DataFrame, chain: Chain, text_col: str) -> DataFrame:
                 else:
                     score = 1 / (1 + np.exp(-np.clip(summary(total, most, n) @ model.value.document, -30, 30)))
                 spans = [",".join(f"{a}:{b}" for a, b in spans_of(t, p)) for t, p in zip(mine, tagged)]
-                own = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(total), pa.array(most), pa.array(n, pa.int64()), pa.array(score), pa.array(spans, pa.string())], names=[*fields, *added])
+                    [*(own.column(i) for i in kept), pa.array(total), pa.array(most), pa.array(n, pa.int64()), pa.array(score), pa.array(spans, pa.string())], names=[*(fields[i] for i in kept), *added])
 
-    schema = StructType(list(docs.schema.fields))
+    schema = StructType([docs.schema.fields[i] for i in kept])
     for piece in ADDED.split(", "):
         name, kind = piece.split()
         schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, keep: list[str] | None = None) -> DataFrame:
     """Every row of `docs` with `_toxic_score` (0 to 1), `_toxic_spans` and the sums behind them.
 
     The model learns from labels whose row passes `train_on`, a condition over `id_col` (all rows if
@@ -363,7 +363,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_on: Column | None
     rows. Texts are tagged whole, whatever their length. Columns of the names added are replaced.
     """
     used = labels if train_on is None else labels.filter(train_on)
-    return summaries(docs, fit(docs, used, id_col, text_col, label_col, max_rows), text_col)
+    return summaries(docs, fit(docs, used, id_col, text_col, label_col, max_rows), text_col, keep)
 
 
 def default_held_out(doc_id: Column) -> Column:
@@ -371,7 +371,7 @@ def default_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxic_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """`score_documents` that learns from the rows not held out, with held_out, score and predicted."""
-    scored = score_documents(docs, labels, ~default_held_out(F.col("doc_id")))
+    scored = score_documents(docs, labels, ~default_held_out(F.col("doc_id")), keep=keep)
     return scored.withColumns({"_toxic_held_out": default_held_out(F.col("doc_id")), "_toxic_predicted": (F.col("_toxic_score") >= 0.3).cast("int")})
