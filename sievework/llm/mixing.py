@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 OTHER = "(other)"
 # The raking table has one cell for each combination of the listed categories.
 MAX_CELLS = 1_000_000
+TRIM = 1e6
 
 
 def word_count(text: Column) -> Column:
@@ -40,8 +41,9 @@ def category(value: Column, targets: Mapping[str, float]) -> Column:
 def rake(mass: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-12, max_sweeps: int = 10_000) -> np.ndarray:
     """Weights w so that mass * w has the target sum along each axis; the total stays.
 
-    A target of a category without mass is shared among the others. Raises if a target cannot be met
-    (categories with mass but target zero get weight 0).
+    A target of a category without mass is shared among the others; categories with mass but target
+    zero get weight 0. Where empty cells keep the marginals from being met together, the sweeps end
+    once they no longer come nearer; weights stay within TRIM and its inverse.
     """
     total = mass.sum()
     weights = np.ones_like(mass)
@@ -54,16 +56,22 @@ def rake(mass: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-12,
         if kept.sum() <= 0:
             raise ValueError("no category with a target above zero has mass")
         wanted.append(kept / kept.sum() * total)
-    for _ in range(max_sweeps):
+    before = math.inf
+    for sweep in range(1, max_sweeps + 1):
         worst = 0.0
         for axis, want in enumerate(wanted):
             have = (mass * weights).sum(axis=tuple(i for i in range(mass.ndim) if i != axis))
-            factor = np.divide(want, have, out=np.zeros_like(want), where=have > 0)
+            factor = np.divide(want, have, out=np.ones_like(want), where=have > 0)
             worst = max(worst, float(np.abs(want - have).max() / total))
             weights = weights * factor.reshape([-1 if i == axis else 1 for i in range(mass.ndim)])
+        weights = np.where(weights > 0, np.clip(weights, 1 / TRIM, TRIM), 0.0)
         if worst < tolerance:
-            return weights
-    raise RuntimeError("the marginals cannot be met together")
+            break
+        if sweep % 100 == 0:
+            if worst > 0.999 * before:
+                break
+            before = worst
+    return weights
 
 
 def calibrate(mass: np.ndarray, weights: np.ndarray, share: float) -> float:
