@@ -265,6 +265,7 @@ def scan(docs: DataFrame, net: Network, text_col: str = "text", redact: str | No
     names = docs.columns
     at = names.index(text_col)
     kept = [i for i, n in enumerate(names) if keep is None or n in keep]
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots do not pass mapInArrow
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def learned(texts: list[str], bases: list[list]) -> list[list[tuple[int, int, int]]]:
@@ -304,12 +305,12 @@ def scan(docs: DataFrame, net: Network, text_col: str = "text", redact: str | No
                 yield pa.RecordBatch.from_arrays(
                     [*(own.column(i) for i in kept), *(pa.array(counts[:, k].copy()) for k in range(3)), pa.array([len(m) for m in more], pa.int64()),
                      pa.array([hashlib.sha256(join_spans(b).encode()).hexdigest() for b in bases], pa.string()), pa.array([join_spans(s) for s in spans], pa.string()), pa.array(clean, pa.string())],
-                    names=[*(names[i] for i in kept), *added])
+                    names=[*(f"c{i}" for i in kept), *added])
 
     schema = StructType([docs.schema.fields[i] for i in kept])
     for piece in ADDED.split(", "):
         schema = schema.add(*piece.split())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*[names[i] for i in kept], *added)
 
 
 def cover(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:

@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             signed = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), signed, batch.column(2)], names=["doc_id", "fp", "row_hash"])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), row_hash(docs))
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), row_hash(docs).alias("row_hash"))
     return read.mapInArrow(run, "doc_id long, fp long, row_hash long")
 
 

@@ -323,6 +323,7 @@ def summaries(docs: DataFrame, chain: Chain, text_col: str, keep: list[str] | No
     fields = docs.schema.fieldNames()
     at = fields.index(text_col)
     kept = [i for i, n in enumerate(fields) if keep is None or n in keep]
+    docs = docs.toDF(*[f"c{i}" for i in range(len(fields))])  # names with dots do not pass mapInArrow
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,13 +342,13 @@ def summaries(docs: DataFrame, chain: Chain, text_col: str, keep: list[str] | No
                     score = 1 / (1 + np.exp(-np.clip(summary(total, most, n) @ model.value.document, -30, 30)))
                 spans = [",".join(f"{a}:{b}" for a, b in spans_of(t, p)) for t, p in zip(mine, tagged)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(own.column(i) for i in kept), pa.array(total), pa.array(most), pa.array(n, pa.int64()), pa.array(score), pa.array(spans, pa.string())], names=[*(fields[i] for i in kept), *added])
+                    [*(own.column(i) for i in kept), pa.array(total), pa.array(most), pa.array(n, pa.int64()), pa.array(score), pa.array(spans, pa.string())], names=[*(f"c{i}" for i in kept), *added])
 
     schema = StructType([docs.schema.fields[i] for i in kept])
     for piece in ADDED.split(", "):
         name, kind = piece.split()
         schema = schema.add(name, kind)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*[fields[i] for i in kept], *added)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, keep: list[str] | None = None) -> DataFrame:
