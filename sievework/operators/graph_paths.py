@@ -9,16 +9,15 @@ from sievework.functions.columns import seeded_hash
 from sievework.operators.graph import Graph, adjacency
 from sievework.session import cut
 
-# Above this many vertices, sources are sampled unless the caller raises the limit.
-EXACT_LIMIT = 1000
+# Sources are sampled only if the caller sets a limit; these many are drawn then.
 PIVOTS = 100
 
 
-def pick_sources(g: Graph, exact_limit: int = EXACT_LIMIT, pivots: int = PIVOTS, seed: int = 42) -> tuple[DataFrame, int, int]:
-    """Source vertices, their number and the vertex count. All vertices up to the limit, otherwise
-    a seeded sample of pivots."""
+def pick_sources(g: Graph, exact_limit: int | None = None, pivots: int = PIVOTS, seed: int = 42) -> tuple[DataFrame, int, int]:
+    """Source vertices, their number and the vertex count. All vertices, or above a limit that the
+    caller sets a seeded sample of pivots."""
     n = g.vertices.count()
-    if n <= exact_limit:
+    if exact_limit is None or n <= exact_limit:
         return g.vertices.selectExpr("id AS source"), n, n
     chosen = g.vertices.orderBy(seeded_hash(seed, F.col("id")), "id").limit(min(pivots, n))
     return cut(chosen.selectExpr("id AS source")), min(pivots, n), n
@@ -51,14 +50,14 @@ def distances(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     return distance_table(bfs_levels(adj, g.vertices.selectExpr("id AS source") if sources is None else sources))
 
 
-def eccentricity(g: Graph, dist: DataFrame | None = None, exact_limit: int = EXACT_LIMIT) -> DataFrame:
-    """Largest distance to a reached vertex (from the sampled pivots above the limit)."""
+def eccentricity(g: Graph, dist: DataFrame | None = None, exact_limit: int | None = None) -> DataFrame:
+    """Largest distance to a reached vertex (from sampled pivots above a limit, if one is set)."""
     dist = distances(g, pick_sources(g, exact_limit)[0]) if dist is None else dist
     far = dist.groupBy("id").agg(F.max("d").alias("eccentricity")) if not g.directed else dist.groupBy(F.col("source").alias("id")).agg(F.max("d").alias("eccentricity"))
     return g.vertices.select("id").join(far, "id", "left").selectExpr("id", "CAST(coalesce(eccentricity, 0) AS LONG) AS eccentricity")
 
 
-def shortest_path_stats(g: Graph, exact_limit: int = EXACT_LIMIT) -> DataFrame:
+def shortest_path_stats(g: Graph, exact_limit: int | None = None) -> DataFrame:
     """Average path length, diameter and radius; zeros when the graph is not connected."""
     sources, k, n = pick_sources(g, exact_limit)
     dist = cut(distances(g, sources))
@@ -72,7 +71,7 @@ def shortest_path_stats(g: Graph, exact_limit: int = EXACT_LIMIT) -> DataFrame:
         f"{str(k == n).lower()} AS exact")
 
 
-def closeness(g: Graph, exact_limit: int = EXACT_LIMIT, dist: DataFrame | None = None) -> DataFrame:
+def closeness(g: Graph, exact_limit: int | None = None, dist: DataFrame | None = None) -> DataFrame:
     """(id, closeness) with inward distances; scaled by the reached share.
 
     With sampled sources the reached count and the distance sum are scaled up to all vertices.
@@ -85,8 +84,8 @@ def closeness(g: Graph, exact_limit: int = EXACT_LIMIT, dist: DataFrame | None =
         "id", f"IF(s IS NULL OR s = 0 OR {n} < 2, 0D, (least(r * {scale}D, {n} - 1) / (s * {scale}D)) * least(r * {scale}D, {n} - 1) / ({n} - 1)) AS closeness")
 
 
-def betweenness(g: Graph, exact_limit: int = EXACT_LIMIT, pivots: int = PIVOTS) -> DataFrame:
-    """(id, betweenness), normalised. Exact up to the limit, pivot-sampled above it."""
+def betweenness(g: Graph, exact_limit: int | None = None, pivots: int = PIVOTS) -> DataFrame:
+    """(id, betweenness), normalised. Exact; pivot-sampled above a limit, if one is set."""
     sources, k, n = pick_sources(g, exact_limit, pivots)
     adj = cut(adjacency(g).select("id", "nbr").distinct())
     levels = bfs_levels(adj, sources)

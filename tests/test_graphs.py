@@ -132,3 +132,29 @@ def test_roles_and_walks(spark):
     for r in gf.random_walks(g, 4, 3).collect():
         steps = list(zip(r.path, r.path[1:]))
         assert all((int(a), int(b)) in {(0, 1), (1, 2), (3, 1), (4, 1), (1, 5)} for a, b in steps)
+
+
+def test_paths_are_exact_above_a_thousand_vertices(spark):
+    draw = random.Random(3)
+    n = 1050
+    edges = {(draw.randrange(max(1, i // 8)), i) for i in range(1, n)} | {(0, i) for i in range(1, n, 9)}
+    near = {i: set() for i in range(n)}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    far, total, close = [], 0, {}
+    for start in range(n):
+        seen, edge, d, s = {start}, [start], 0, 0
+        while edge:
+            edge = list({y for x in edge for y in near[x]} - seen)
+            seen |= set(edge)
+            d += bool(edge)
+            s += d * len(edge)
+        far.append(d)
+        total += s
+        close[start] = (n - 1) / s
+    s = gp.shortest_path_stats(make(spark, sorted(edges))).first()
+    assert s.exact and s.diameter == max(far) and s.radius == min(far)
+    assert s.average_path_length == pytest.approx(total / (n * (n - 1)))
+    got = {r.id: r.closeness for r in gp.closeness(make(spark, sorted(edges))).collect()}
+    assert got == pytest.approx(close)
