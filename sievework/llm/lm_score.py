@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,8 +78,33 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> Da
     return cut(read.mapInArrow(run, "block long, doc_id long, held_out boolean, data binary"))
 
 
-def _entries(blocks: DataFrame, depth: int) -> DataFrame:
-    """(block, word, key, n): distinct words and symbol keys of each block with their training counts."""
+def bucket_of(keys, buckets: int):
+    """The bucket of symbol keys, in NumPy and in columns alike: a multiplicative hash below 2**31."""
+    return keys % 2147483647 * 48271 % 2147483647 % buckets
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed: sorted keys and small counts take few bytes."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_numbers(data: bytes, size: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).reshape(-1)
+
+
+ENTRIES = "block long, word binary, n long, bucket long, size long, keys binary, counts binary"
+
+
+def _entries(blocks: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """What each block holds: a row for each distinct word, and its distinct symbol keys packed by bucket.
+
+    Both come with their training counts; a bucket's keys are sorted, so that a block that finds its
+    keys again can match values sent to it in that order.
+    """
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
 
     def keys_of(texts: list[bytes], trained: bool, found: list) -> None:
         for part in chunks(texts):
@@ -87,12 +113,22 @@ def _entries(blocks: DataFrame, depth: int) -> DataFrame:
 
     def of_block(block: int, train: Counter, other: set[bytes], found: list) -> Iterator[pa.RecordBatch]:
         words = [*train, *(w for w in other if w not in train)]
-        counts = np.zeros(len(words), np.int64)
-        counts[: len(train)] = list(train.values())
-        yield _entry_batch(block, words, None, counts)
+        counts = [*train.values(), *[0] * (len(words) - len(train))]
+        nulls, long, binary = pa.nulls, pa.int64(), pa.binary()
+        m = len(words)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(m, block), long), pa.array(words, binary), pa.array(counts, long), nulls(m, long), nulls(m, long), nulls(m, binary), nulls(m, binary)], names=names)
         keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
         n = np.bincount(at, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
-        yield _entry_batch(block, None, keys, n)
+        mine = bucket_of(keys, buckets)
+        order = np.argsort(mine, kind="stable")
+        keys, n, mine = keys[order], n[order], mine[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(mine)) + 1, len(mine)].tolist()
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        m = len(spans)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(m, block), long), nulls(m, binary), nulls(m, long), pa.array(mine[cuts[:-1]], long), pa.array([hi - lo for lo, hi in spans], long),
+             pa.array([pack_numbers(keys[lo:hi]) for lo, hi in spans], binary), pa.array([pack_numbers(n[lo:hi]) for lo, hi in spans], binary)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, train, other, found = None, Counter(), set(), []
@@ -117,16 +153,39 @@ def _entries(blocks: DataFrame, depth: int) -> DataFrame:
         if current is not None:
             yield from of_block(current, train, other, found)
 
-    return cut(blocks.select("block", "held_out", "data").mapInArrow(run, "block long, word binary, key long, n long"))
+    return cut(blocks.select("block", "held_out", "data").mapInArrow(run, ENTRIES))
 
 
-def _entry_batch(block: int, words: list[bytes] | None, keys: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-    size = len(n)
-    cols = [
-        pa.array(np.full(size, block, np.int64)), pa.array(words, pa.binary()) if words is not None else pa.nulls(size, pa.binary()),
-        pa.array(keys, pa.int64()) if keys is not None else pa.nulls(size, pa.int64()), pa.array(n, pa.int64()),
-    ]
-    return pa.RecordBatch.from_arrays(cols, names=["block", "word", "key", "n"])
+def _pairs(entries: DataFrame) -> DataFrame:
+    """(key, n): training counts of the distinct symbol keys of all blocks, added up by bucket."""
+
+    def add(group: pa.Table) -> pa.Table:
+        sizes = group.column("size").to_pylist()
+        keys = [unpack_numbers(k, m, "<i8") for k, m in zip(group.column("keys").to_pylist(), sizes)]
+        counts = [unpack_numbers(c, m, "<i8") for c, m in zip(group.column("counts").to_pylist(), sizes)]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+        return pa.table([pa.array(distinct), pa.array(n)], names=["key", "n"])
+
+    packed = entries.filter("bucket IS NOT NULL").select("bucket", "size", "keys", "counts")
+    return cut(packed.groupBy("bucket").applyInArrow(add, "key long, n long"))
+
+
+def _values(entries: DataFrame, logp: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, size, packed): the log probabilities of each block's keys in their order."""
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, lp = right.column("key").to_numpy(), right.column("logp").to_numpy()
+        order = np.argsort(keys)
+        keys, lp = keys[order], lp[order].astype("<f4")
+        found = []
+        for k, m in zip(left.column("keys").to_pylist(), left.column("size").to_pylist()):
+            found.append(pack_numbers(lp[np.searchsorted(keys, unpack_numbers(k, m, "<i8"))]))
+        return pa.table([left.column("block"), left.column("bucket"), left.column("size"), pa.array(found, pa.binary())], names=["block", "bucket", "size", "packed"])
+
+    packed = entries.filter("bucket IS NOT NULL").select("block", "bucket", "size", "keys")
+    placed = logp.select(bucket_of(F.col("key"), buckets).alias("bucket"), "key", "logp")
+    return packed.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(look, "block long, bucket long, size long, packed binary")
 
 
 def log_gamma(x: Column) -> Column:
@@ -210,34 +269,36 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Cases: null and empty texts are the end token alone; null ids are never held out by the default
     rule; repeated rows count each; if nothing is left to train on, known counts are 0 and base_score
     is 0; an empty table gives no rows; columns beyond the two named ones are not read. Word and
-    context tables are built and joined by Spark at their full size; a task holds one block of text.
+    context tables are built by Spark at their full size; a task holds one block of text, or one bucket
+    of keys. Code lengths of symbols travel as 32-bit numbers.
     """
     if held_out is None:
         held_out = default_held_out(F.col(id_col))
     blocks = _blocks(docs, id_col, text_col, held_out)
-    entries = _entries(blocks, depth)
+    # Two buckets a block: a bucket's task holds about half as many keys as a block's, at any size.
+    buckets = 2 * max(4, blocks.select("block").distinct().count())
+    entries = _entries(blocks, depth, buckets)
     words = cut(entries.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, vocabulary = int(total["n"]), int(total["v"])
-    pairs = cut(entries.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")))
-    logp = code_lengths(pairs, depth)
+    logp = code_lengths(_pairs(entries), depth)
     none = F.lit(None)
-    tables = entries.filter("word IS NOT NULL").join(words, "word").select(
-        "block", "word", none.cast("long").alias("key"), F.col("c").cast("double").alias("value"),
-    ).unionByName(entries.filter("key IS NOT NULL").join(logp, "key").select("block", none.cast("binary").alias("word"), "key", F.col("logp").alias("value")))
+    tables = entries.filter("word IS NOT NULL").select("block", "word").join(words, "word").select(
+        "block", "word", F.col("c").alias("size"), none.cast("long").alias("bucket"), none.cast("binary").alias("packed"),
+    ).unionByName(_values(entries, logp, buckets).withColumn("word", none.cast("binary")))
     floor = n_train + 0.5 * (vocabulary + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = right.column("word").is_valid().to_numpy()
-        value = right.column("value").to_numpy()
-        vocab = right.column("word").filter(pa.array(is_word)).to_pylist()
-        counts = value[is_word]
-        keys, lp = right.column("key").filter(pa.array(~is_word)).to_numpy(), value[~is_word]
-        order = np.argsort(keys)
-        keys, lp = keys[order], lp[order]
+        is_word = right.column("word").is_valid()
+        vocab = right.column("word").filter(is_word).to_pylist()
+        counts = right.column("size").filter(is_word).to_numpy()
+        sent = sorted(right.filter(pa.compute.invert(is_word)).select(["bucket", "size", "packed"]).to_pylist(), key=lambda r: r["bucket"])
+        texts = left.column("data").to_pylist()
+        keys = np.unique(np.concatenate([np.unique(symbol_keys(texts[part], depth)[0]) for part in chunks(texts)]))
+        lp = np.zeros(len(keys))
+        lp[np.argsort(bucket_of(keys, buckets), kind="stable")] = np.concatenate([unpack_numbers(r["packed"], r["size"], "<f4") for r in sent])
         base = np.log10((counts + 0.5) / floor)
         index = {w: i for i, w in enumerate(vocab)}
-        texts = left.column("data").to_pylist()
         sums: list[list[np.ndarray]] = [[], [], [], []]
         for part in chunks(texts):
             lists = [[*(t.split(SPACE) if t else []), END] for t in texts[part]]
