@@ -371,6 +371,20 @@ def g29(spark, sf):
     return gp.shortest_path_stats(sparse(spark, sf)).selectExpr("connected", "round(average_path_length, 6) AS average_path_length", "diameter", "radius")
 
 
+# The same on a connected graph: the user graph read without direction.
+CONNECTED_SQL = f"""WITH RECURSIVE {USERS}, a AS (SELECT src AS id, dst AS nbr FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+ l(s, t, d) AS (SELECT id, id, 0 FROM v UNION SELECT l.s, a.nbr, l.d + 1 FROM l JOIN a ON a.id = l.t WHERE l.d < 6),
+ dist AS (SELECT s, t, min(d) AS d FROM l GROUP BY 1, 2), r AS (SELECT s, max(d) AS e, sum(d) AS t, count(*) AS c FROM dist GROUP BY 1)
+ SELECT min(c) = (SELECT n FROM nn) AS connected, round(sum(t) * 1.0 / ((SELECT n FROM nn) * ((SELECT n FROM nn) - 1)), 6) AS average_path_length, max(e) AS diameter, min(e) AS radius FROM r"""
+
+
+@query("g29_connected_path_stats", CONNECTED_SQL)
+def g29c(spark, sf):
+    g = flow(spark, sf)
+    s = gp.shortest_path_stats(gg.simple(gg.Graph(g.vertices, g.edges, False)))
+    return s.selectExpr("connected", "round(average_path_length, 6) AS average_path_length", "diameter", "radius")
+
+
 @query("g29_eccentricity", DIST_SQL + " SELECT t AS id, max(d) AS eccentricity FROM dist GROUP BY 1")
 def g29e(spark, sf):
     return gp.eccentricity(sparse(spark, sf))
@@ -567,7 +581,8 @@ def g51(spark, sf):
 @query("g52_label_centrality3")
 def g52(spark, sf):
     g = sparse(spark, sf)
-    return gf.label_centrality3(gp.betweenness(g), gp.closeness(g))
+    paths = gp.path_measures(g)
+    return gf.label_centrality3(gp.betweenness(g, measures=paths), gp.closeness(g, measures=paths))
 
 
 @query("g53_label_community_role", INSIDE_SQL + """ SELECT v.id, CASE WHEN coalesce(nb, 0) = 0 THEN 'Isolated' WHEN (nb - own) * 1.0 / nb > 0.5 THEN 'Bridge' WHEN own * 1.0 / nb > 0.8 THEN 'Core' ELSE 'Peripheral' END AS label FROM v LEFT JOIN i USING (id)""")

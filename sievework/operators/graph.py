@@ -189,8 +189,11 @@ def largest_component(components: DataFrame) -> DataFrame:
 
 
 def ranked_top(values: DataFrame, value: str, share: float = 0.1) -> DataFrame:
-    """Ids of the top max(1, n * share) rows by value; ties go to the smaller id."""
+    """Ids of the top max(1, n * share) rows by value; ties go to the smaller id.
+
+    Values that differ only beyond the 12th decimal place, as sums in another order do, are ties.
+    """
     k = max(1, int(values.count() * share))
-    return values.orderBy(F.desc(value), "id").limit(k).select("id")
+    return values.orderBy(F.desc(F.round(value, 12)), "id").limit(k).select("id")
 
 

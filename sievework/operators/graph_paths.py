@@ -1,4 +1,4 @@
-"""Breadth-first distance tables and the measures built on them."""
+"""Measures built on breadth-first searches."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.columns import seeded_hash
 from sievework.operators.graph import Graph, adjacency
+from sievework.operators.graph_search import distance_sums, path_sums
 from sievework.session import cut
 
 # Sources are sampled only if the caller sets a limit; these many are drawn then.
@@ -23,96 +24,69 @@ def pick_sources(g: Graph, exact_limit: int | None = None, pivots: int = PIVOTS,
     return cut(chosen.selectExpr("id AS source")), min(pivots, n), n
 
 
-def bfs_levels(adj: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """One table (source, id, sigma) per distance; sigma counts shortest paths."""
-    level = cut(sources.selectExpr("source", "source AS id", "1D AS sigma"))
-    levels, seen = [level], level.select("source", "id")
-    while True:
-        step = level.join(adj, "id").groupBy("source", F.col("nbr").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        level = cut(step.join(seen, ["source", "id"], "left_anti"))
-        if level.isEmpty():
-            return levels
-        levels.append(level)
-        seen = seen.unionByName(level.select("source", "id"))
+def path_measures(g: Graph, exact_limit: int | None = None, pivots: int = PIVOTS) -> DataFrame:
+    """(id, reached, total, far, between) of one search that counts paths; see `path_sums`.
 
+    Closeness, betweenness and, on undirected graphs, path statistics and eccentricity can all be told
+    from it; pass it to them as `measures`.
+    """
+    return path_sums(g, _sampled(g, exact_limit, pivots))
 
-def distance_table(levels: list[DataFrame]) -> DataFrame:
-    """(source, id, d) for all reached pairs."""
-    out = None
-    for d, level in enumerate(levels):
-        part = level.selectExpr("source", "id", f"{d} AS d")
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def _sampled(g: Graph, exact_limit: int | None, pivots: int = PIVOTS) -> DataFrame | None:
+    sources, k, n = pick_sources(g, exact_limit, pivots)
+    return sources if k < n else None
 
-def distances(g: Graph, sources: DataFrame | None = None) -> DataFrame:
-    adj = cut(adjacency(g).select("id", "nbr").distinct())
-    return distance_table(bfs_levels(adj, g.vertices.selectExpr("id AS source") if sources is None else sources))
 
+def _source_count(n: int, exact_limit: int | None, pivots: int = PIVOTS) -> int:
+    return n if exact_limit is None or n <= exact_limit else min(pivots, n)
 
-def eccentricity(g: Graph, dist: DataFrame | None = None, exact_limit: int | None = None) -> DataFrame:
+
+def eccentricity(g: Graph, measures: DataFrame | None = None, exact_limit: int | None = None) -> DataFrame:
     """Largest distance to a reached vertex (from sampled pivots above a limit, if one is set)."""
-    dist = distances(g, pick_sources(g, exact_limit)[0]) if dist is None else dist
-    far = dist.groupBy("id").agg(F.max("d").alias("eccentricity")) if not g.directed else dist.groupBy(F.col("source").alias("id")).agg(F.max("d").alias("eccentricity"))
-    return g.vertices.select("id").join(far, "id", "left").selectExpr("id", "CAST(coalesce(eccentricity, 0) AS LONG) AS eccentricity")
-
-
-def shortest_path_stats(g: Graph, exact_limit: int | None = None) -> DataFrame:
-    """Average path length, diameter and radius; zeros when the graph is not connected."""
-    sources, k, n = pick_sources(g, exact_limit)
-    dist = cut(distances(g, sources))
-    ecc = dist.groupBy("source").agg(F.max("d").alias("e"), F.sum("d").alias("s"), F.count("*").alias("r"))
-    return ecc.agg(
-        (F.min("r") == n).alias("connected"), F.sum("s").alias("total"), F.max("e").alias("dia"), F.min("e").alias("rad")
+    if measures is None or g.directed:
+        measures = distance_sums(g, _sampled(g, exact_limit), inward=not g.directed)
+    return measures.selectExpr("id", "far AS eccentricity")
+
+
+def shortest_path_stats(g: Graph, exact_limit: int | None = None, measures: DataFrame | None = None) -> DataFrame:
+    """Average path length, diameter and radius; zeros when some vertex does not reach another.
+
+    With sampled sources the distances are those between the sources and all vertices.
+    """
+    n = g.vertices.count()
+    k = _source_count(n, exact_limit)
+    if measures is None or g.directed:
+        measures = distance_sums(g, _sampled(g, exact_limit), inward=not g.directed)
+    return measures.agg(
+        (F.sum("reached") == F.lit(k) * (n - 1)).alias("connected"), F.sum("total").alias("total"), F.max("far").alias("dia"), F.min("far").alias("rad")
     ).selectExpr(
         "connected",
         f"IF(connected AND {n} > 1, total / ({k}.0D * ({n} - 1)), 0D) AS average_path_length",
-        "CAST(IF(connected, dia, 0) AS LONG) AS diameter", "CAST(IF(connected, rad, 0) AS LONG) AS radius",
+        "IF(connected, dia, 0L) AS diameter", "IF(connected, rad, 0L) AS radius",
         f"{str(k == n).lower()} AS exact")
 
 
-def closeness(g: Graph, exact_limit: int | None = None, dist: DataFrame | None = None) -> DataFrame:
+def closeness(g: Graph, exact_limit: int | None = None, measures: DataFrame | None = None) -> DataFrame:
     """(id, closeness) with inward distances; scaled by the reached share.
 
     With sampled sources the reached count and the distance sum are scaled up to all vertices.
     """
-    sources, k, n = pick_sources(g, exact_limit)
-    dist = distances(g, sources) if dist is None else dist
-    sums = dist.filter("d > 0").groupBy("id").agg(F.sum("d").alias("s"), F.count("*").alias("r"))
+    n = g.vertices.count()
+    k = _source_count(n, exact_limit)
+    sums = distance_sums(g, _sampled(g, exact_limit)) if measures is None else measures
     scale = n / k if k else 1.0
-    return g.vertices.select("id").join(sums, "id", "left").selectExpr(
-        "id", f"IF(s IS NULL OR s = 0 OR {n} < 2, 0D, (least(r * {scale}D, {n} - 1) / (s * {scale}D)) * least(r * {scale}D, {n} - 1) / ({n} - 1)) AS closeness")
+    return sums.selectExpr(
+        "id", f"IF(total = 0 OR {n} < 2, 0D, (least(reached * {scale}D, {n} - 1) / (total * {scale}D)) * least(reached * {scale}D, {n} - 1) / ({n} - 1)) AS closeness")
 
 
-def betweenness(g: Graph, exact_limit: int | None = None, pivots: int = PIVOTS) -> DataFrame:
+def betweenness(g: Graph, exact_limit: int | None = None, pivots: int = PIVOTS, measures: DataFrame | None = None) -> DataFrame:
     """(id, betweenness), normalised. Exact; pivot-sampled above a limit, if one is set."""
-    sources, k, n = pick_sources(g, exact_limit, pivots)
-    adj = cut(adjacency(g).select("id", "nbr").distinct())
-    levels = bfs_levels(adj, sources)
-    return betweenness_from(g, adj, levels, k, n)
-
-
-def betweenness_from(g: Graph, adj: DataFrame, levels: list[DataFrame], k: int, n: int) -> DataFrame:
-    back = adj.selectExpr("nbr AS id", "id AS prev")
-    below, sums = None, []
-    for d in range(len(levels) - 1, 0, -1):
-        here = levels[d]
-        if below is None:
-            here = here.selectExpr("source", "id", "sigma", "0D AS delta")
-        else:
-            here = here.join(below, ["source", "id"], "left").selectExpr("source", "id", "sigma", "coalesce(delta, 0D) AS delta")
-        here = cut(here)
-        sums.append(here.groupBy("id").agg(F.sum("delta").alias("delta")))
-        share = here.join(back, "id").selectExpr("source", "prev AS id", "(1 + delta) / sigma AS share")
-        below = share.join(levels[d - 1], ["source", "id"]).groupBy("source", "id").agg(F.sum(F.col("share") * F.col("sigma")).alias("delta"))
+    n = g.vertices.count()
+    k = _source_count(n, exact_limit, pivots)
+    sums = path_measures(g, exact_limit, pivots) if measures is None else measures
     scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 and k else 0.0
-    total = None
-    for s in sums:
-        total = s if total is None else total.unionByName(s)
-    if total is None:
-        return g.vertices.selectExpr("id", "0D AS betweenness")
-    total = total.groupBy("id").agg(F.sum("delta").alias("delta"))
-    return g.vertices.select("id").join(total, "id", "left").selectExpr("id", f"coalesce(delta, 0D) * {scale!r}D AS betweenness")
+    return sums.selectExpr("id", f"between * {scale!r}D AS betweenness")
 
 
 def local_efficiency(g: Graph) -> DataFrame:

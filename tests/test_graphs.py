@@ -158,3 +158,61 @@ def test_paths_are_exact_above_a_thousand_vertices(spark):
     assert s.average_path_length == pytest.approx(total / (n * (n - 1)))
     got = {r.id: r.closeness for r in gp.closeness(make(spark, sorted(edges))).collect()}
     assert got == pytest.approx(close)
+
+
+def plain_search(nodes, edges, directed):
+    """(reached, total, far, between) of every vertex by breadth-first searches."""
+    out = {x: set() for x in nodes}
+    for a, b in edges:
+        out[a].add(b)
+        if not directed:
+            out[b].add(a)
+    sums = {x: [0, 0, 0, 0.0] for x in nodes}
+    for s in nodes:
+        dist, sigma, order, before = {s: 0}, {s: 1}, [s], {s: []}
+        for x in order:
+            for y in out[x] - {x}:
+                if y not in dist:
+                    dist[y], sigma[y], before[y] = dist[x] + 1, 0, []
+                    order.append(y)
+                if dist[y] == dist[x] + 1:
+                    sigma[y] += sigma[x]
+                    before[y].append(x)
+        delta = dict.fromkeys(order, 0.0)
+        for y in reversed(order[1:]):
+            for x in before[y]:
+                delta[x] += sigma[x] / sigma[y] * (1 + delta[y])
+            r = sums[y]
+            r[0], r[1], r[2], r[3] = r[0] + 1, r[1] + dist[y], max(r[2], dist[y]), r[3] + delta[y]
+    return sums
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_search_in_several_batches(spark, directed, monkeypatch):
+    """Batches smaller than the graph, a hub of several neighbour lists, loops, and lone vertices."""
+    from sievework.operators import graph_search as gs
+
+    monkeypatch.setattr(gs, "LIST", 8)
+    monkeypatch.setattr(gs, "WORDS", 64)
+    rng = random.Random(7)
+    edges = {tuple(rng.sample(range(90), 2)) for _ in range(120)} | {(0, i) for i in range(20, 60)} | {(5, 5)}
+    edges = sorted(edges if directed else {(min(e), max(e)) for e in edges})
+    nodes = list(range(95))
+    g = make(spark, edges, nodes, directed)
+    want = plain_search(nodes, edges, directed)
+    got = {r.id: r for r in gs.path_sums(g, batch=64).collect()}
+    for x in nodes:
+        r = got[x]
+        assert [r.reached, r.total, r.far] == want[x][:3]
+        assert r.between == pytest.approx(want[x][3])
+    assert {r.id: [r.reached, r.total, r.far] for r in gs.distance_sums(g, batch=64).collect()} == {x: w[:3] for x, w in want.items()}
+    if directed:
+        turned = plain_search(nodes, [(b, a) for a, b in edges], True)
+        assert {r.id: r.eccentricity for r in gp.eccentricity(g).collect()} == {x: w[2] for x, w in turned.items()}
+
+
+def test_search_of_empty_and_edgeless_graphs(spark):
+    lone = make(spark, [], [1, 2])
+    assert sorted(map(tuple, gp.path_measures(lone).collect())) == [(1, 0, 0, 0, 0.0), (2, 0, 0, 0, 0.0)]
+    none = gg.simple(gg.from_edges(spark.createDataFrame([], "src int, dst int")))
+    assert gp.path_measures(none).count() == 0 and gp.closeness(none).count() == 0
