@@ -11,51 +11,60 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# Queries whose candidates are marked at a time.
+QUERIES = 1024
+
+
 class PrefixForest:
-    """Sorted arrays of hash strings, one a tree; a string's bits are signs of random projections."""
+    """Sorted arrays of hash strings, one a tree; a string's bits are signs of random projections.
+
+    Rows get one more component that gives all of them the norm of the longest, and queries a zero,
+    so that the nearest by angle are the largest by inner product.
+    """
 
     def __init__(self, vectors: np.ndarray, trees: int, bits: int, seed: int):
         self.vectors, self.trees, self.bits = vectors, trees, bits
-        self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], trees * bits))
-        codes = self.hash(vectors)
-        self.order = [np.argsort(codes[:, t], kind="stable") for t in range(trees)]
-        self.sorted = [codes[o, t] for t, o in enumerate(self.order)]
-
-    def hash(self, vectors: np.ndarray) -> np.ndarray:
-        """(rows, trees): each hash string as an integer, its first bit highest."""
-        signs = (vectors @ self.planes > 0).reshape(len(vectors), self.trees, self.bits)
-        return signs @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
-
-    def sharing(self, code: np.ndarray, depth: int) -> np.ndarray:
-        """Rows that share the first `depth` bits with the code in at least one tree."""
-        hit = np.zeros(len(self.vectors), bool)
-        shift = self.bits - depth
-        for t in range(self.trees):
-            low = (int(code[t]) >> shift) << shift
-            a, b = self.sorted[t].searchsorted([low, low + (1 << shift)])
-            hit[self.order[t][a:b]] = True
-        return np.flatnonzero(hit)
-
-    def candidates(self, code: np.ndarray, wanted: int) -> np.ndarray:
-        """Rows at the deepest level, the same in all trees, where at least `wanted` distinct rows match.
-
-        Descending to the longest match and ascending level by level ends at this level; as matches
-        only grow upwards, the search starts where `wanted` rows are likely.
+        self.planes = np.random.default_rng(seed).standard_normal((trees, vectors.shape[1] + 1, bits)).astype(np.float32)
+        squares = (vectors * vectors).sum(1)
+        codes = self.hash(np.column_stack([vectors, np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))]))
+        self.order = codes.argsort(axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(codes, self.order, 1)
+
+    def hash(self, rows: np.ndarray) -> np.ndarray:
+        """(trees, rows): each hash string as an integer, its first bit highest."""
+        low = rows.astype(np.float32) / np.float32(max(1e-30, np.abs(rows).max(initial=0)))
+        weights = (1 << np.arange(self.bits - 1, -1, -1)).astype(np.float32)
+        return np.stack([((low @ p > 0) @ weights).astype(np.int32) for p in self.planes])
+
+    def candidates(self, queries: np.ndarray, wanted: int) -> np.ndarray:
+        """(queries, rows): the rows that share a prefix with each query at its own depth.
+
+        Each query starts at its longest matches and ascends in all trees at once until they hold
+        `wanted` rows, a row counting once a tree. Matches of a prefix are a run of the sorted array;
+        its length is read from running counts of the strings.
         """
-        wanted = min(wanted, len(self.vectors))
-        guess = int(math.log2(max(1.0, self.trees * len(self.vectors) / max(1, wanted))))
-        depth = min(self.bits, max(0, guess))
-        found = self.sharing(code, depth)
-        if len(found) >= wanted:
-            while depth < self.bits:
-                deeper = self.sharing(code, depth + 1)
-                if len(deeper) < wanted:
-                    break
-                depth, found = depth + 1, deeper
-        while len(found) < wanted and depth > 0:
-            depth -= 1
-            found = self.sharing(code, depth)
-        return found
+        codes = self.hash(np.column_stack([queries, np.zeros(len(queries))]))
+        matches = np.zeros((self.bits + 1, len(queries)), np.int64)
+        runs = np.zeros(((1 << self.bits) + 1), np.int32)
+        for code, own in zip(codes, self.sorted):
+            np.cumsum(np.bincount(own, minlength=1 << self.bits), out=runs[1:])
+            for depth in range(self.bits + 1):
+                shift = self.bits - depth
+                low = code >> shift << shift
+                matches[depth] += runs[low + (1 << shift)] - runs[low]
+        depths = np.maximum(0, (matches >= wanted).sum(0) - 1)
+        shift = self.bits - depths
+        hit = np.zeros((len(queries), len(self.vectors)), bool)
+        flat = hit.reshape(-1)
+        base = np.arange(len(queries), dtype=np.int64) * len(self.vectors)
+        for code, own, order in zip(codes, self.sorted, self.order):
+            low = code >> shift << shift
+            a, b = own.searchsorted(low), own.searchsorted(low + (1 << shift))
+            n = b - a
+            ends = np.cumsum(n)
+            at = np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+            flat[np.repeat(base, n) + order[at]] = True
+        return hit
 
 
 def top_k(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -80,13 +89,14 @@ def usable(vector: Column) -> Column:
 
 def search(
     vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
-    trees: int = 64, bits: int = 16, share: float = 0.45, least: int = 256, block_rows: int = 4096, seed: int = 11,
+    trees: int = 448, bits: int = 14, wanted: int = 10_000, block_rows: int = 4096, seed: int = 11,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query by inner product.
 
     Every row is indexed: rows fall by a hash of their id into blocks of about `block_rows`, each with
     a prefix forest of its own, and queries, in chunks of the same size, visit every block. A query's
-    candidates in a block are at least `share` of it (and `least` rows); their scores are computed in
+    candidates are those that share its prefixes where the trees hold `wanted` matches in all, in each
+    block its part of that number; the number does not grow with the table. Scores are computed in
     double precision from the vectors as given. A block's best k meet in a ranking by query.
 
     Cases: rows without id or with an unusable vector take no part; rows that repeat the query's id
@@ -113,16 +123,16 @@ def search(
             ids, x = left.column("id").to_numpy(), _matrix(left, dim)
             forest = PrefixForest(x, trees, bits, seed)
             asked_ids, q = right.column("id").to_numpy(), _matrix(right, dim)
-            codes = forest.hash(q)
-            wanted = max(math.ceil(share * len(x)), least)
-            for i, query in enumerate(asked_ids.tolist()):
-                found = forest.candidates(codes[i], wanted)
-                found = found[ids[found] != query]
-                scores = (x[found] * q[i]).sum(1)
-                best = top_k(ids[found], scores, k)
-                out[0] += [query] * len(best)
-                out[1] += ids[found][best].tolist()
-                out[2] += scores[best].tolist()
+            for at in range(0, len(q), QUERIES):
+                hits = forest.candidates(q[at : at + QUERIES], math.ceil(wanted / blocks))
+                for i, query in enumerate(asked_ids[at : at + QUERIES].tolist(), at):
+                    found = np.flatnonzero(hits[i - at])
+                    found = found[ids[found] != query]
+                    scores = np.einsum("ij,j->i", x[found], q[i])
+                    best = top_k(ids[found], scores, k)
+                    out[0] += [query] * len(best)
+                    out[1] += ids[found][best].tolist()
+                    out[2] += scores[best].tolist()
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     keys = ["dim", "block", "chunk"]

@@ -376,3 +376,41 @@ def test_prefix_forest_recall(spark):
         hits += len({i for _, i, _ in found} & set(np.argsort(-exact)[:20].tolist()))
     assert hits / (20 * len(got)) >= 0.9
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_prefix_forest_of_several_blocks_with_ties_and_repeats(spark):
+    """Blocks and chunks smaller than the table; equal vectors, repeated ids, few rows, mixed lengths."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 8)) * rng.uniform(0.2, 2, size=(300, 1))
+    rows = [(i, base[i // 2].tolist()) for i in range(600)] + [(40, base[150].tolist()), (41, base[20].tolist())]
+    rows += [(1000 + i, rng.normal(size=3).tolist()) for i in range(0, 50, 10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.filter("vec_id % 20 = 0"), block_rows=128, wanted=100_000).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in [i for i, _ in rows if i % 20 == 0]:
+        best = {}
+        for own in [v for i, v in rows if i == q]:
+            for i, v in rows:
+                if i != q and len(v) == len(own):
+                    s = float(np.einsum("ij,j->i", np.array([v]), np.array(own))[0])
+                    best[i] = max(s, best.get(i, -math.inf))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        found = sorted(got.get(q, []))
+        assert [k for k, _, _ in found] == list(range(1, len(want) + 1))
+        assert [i for _, i, _ in found] == [i for i, _ in want]
+
+
+def test_prefix_forest_ascends_in_step():
+    """Candidates are the matches at the deepest level that holds as many as wanted, in all trees."""
+    x = np.random.default_rng(3).normal(size=(700, 24))
+    forest = ann.PrefixForest(x, 30, 10, 11)
+    codes = forest.hash(np.column_stack([x[:40], np.zeros(40)]))
+    rows = np.zeros_like(forest.sorted)
+    np.put_along_axis(rows, forest.order.astype(np.int64), forest.sorted, 1)
+    for wanted in (1, 300, 10**9):
+        hit = forest.candidates(x[:40], wanted)
+        for i in range(40):
+            same = {d: rows >> (10 - d) == (codes[:, i] >> (10 - d))[:, None] for d in range(11)}
+            depth = max([d for d in same if same[d].sum() >= wanted], default=0)
+            assert (hit[i] == same[depth].any(0)).all()
