@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain as chain_lists
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,26 @@ WORD = re.compile(r"\w+")
 BUCKETS = 1 << 18  # hashed features: the model has this size whatever the corpus
 AROUND = 12  # words on either side of a training window's middle
 WINDOWS = 3  # training windows of a document
+EQUALS, STAR = zlib.crc32(b"="), zlib.crc32(b"*")
 CUES = 20_000  # units kept to label the tokens of toxic training documents
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word: a constant, the word, its beginnings and its ends."""
-    names = ["", "=" + word]
-    names += [f"{word[:k]}*" for k in (3, 4, 5, 6) if len(word) >= k]
-    names += [f"*{word[-k:]}" for k in (3, 4, 5) if len(word) >= k]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names]
+    """Hashed features of a lower-cased word: a constant, the word, its beginnings and its ends.
+
+    Each is the CRC of `=word`, `beginning*` or `*end`, continued from the part they share.
+    """
+    crc, whole = zlib.crc32, word.encode("utf-8", "surrogatepass")
+    cut_at = range(len(word) + 1)
+    if len(whole) > len(word):
+        cut_at = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in word)]).tolist()
+    names = [0, crc(whole, EQUALS)]
+    begun, at = 0, 0
+    for k in range(3, min(6, len(word)) + 1):
+        begun, at = crc(whole[at : cut_at[k]], begun), cut_at[k]
+        names.append(crc(b"*", begun))
+    names += [crc(whole[cut_at[-1 - k] :], STAR) for k in range(3, min(5, len(word)) + 1)]
+    return [n % BUCKETS for n in names]
 
 
 def units(word: str) -> list[str]:
@@ -137,18 +149,29 @@ def fit_document(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
 
 
 class Tagger:
-    """Applies a chain to texts; emissions of words are kept in a table that is emptied when full."""
+    """Applies a chain to texts; emissions of words are kept in two tables of at most `room` words.
 
-    def __init__(self, chain: Chain, room: int = 200_000):
-        self.chain, self.room, self.table = chain, room, {}
+    When the newer table is full it becomes the older one, so words in use are not worked out again.
+    """
+
+    def __init__(self, chain: Chain, room: int = 250_000):
+        self.chain, self.room, self.newer, self.older = chain, room, {}, {}
 
     def emission(self, words: list[str]) -> np.ndarray:
-        table = self.table
-        if len(table) > self.room:
-            table.clear()
+        if len(self.newer) > self.room:
+            self.newer, self.older = {}, self.newer
+        table, older, new = self.newer, self.older, []
         for w in set(words):
             if w not in table:
-                table[w] = float(self.chain.emission[features(w)].sum())
+                known = older.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    table[w] = known
+        if new:
+            lists = [features(w) for w in new]
+            starts = np.cumsum([0] + [len(x) for x in lists[:-1]])
+            table.update(zip(new, np.add.reduceat(self.chain.emission[list(chain_lists.from_iterable(lists))], starts).tolist()))
         return np.fromiter(map(table.__getitem__, words), np.float64, len(words))
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
@@ -175,6 +198,16 @@ class Tagger:
         return out
 
 
+_TAGGERS: list[Tagger] = []
+
+
+def tagger_of(chain: Chain) -> Tagger:
+    """One tagger per worker process, as long as the chain stays the same."""
+    if not _TAGGERS or _TAGGERS[0].chain is not chain:
+        _TAGGERS[:] = [Tagger(chain)]
+    return _TAGGERS[0]
+
+
 def spans_of(text: str, p: np.ndarray, threshold: float = 0.5) -> list[tuple[int, int]]:
     """Offsets (code points, end exclusive) of the runs of words that are likelier toxic than not."""
     hot = p >= threshold
@@ -210,7 +243,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     named = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     n = named.count()
     share = min(1.0, max_rows / max(1, n))
-    chosen = named.filter(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = named.filter(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_id"), 1) <= F.lit(min(2**63 - 1, int(share * 2**53) << 10)))
     # About `max_rows` pairs of numbers, a bound that does not grow with the tables.
     found = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
 
@@ -327,7 +360,7 @@ def summaries(docs: DataFrame, chain: Chain, text_col: str, keep: list[str] | No
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(model.value)
+        tagger = tagger_of(model.value)
         for batch in batches:
             for part in text_slices(batch.column(at)):
                 own = batch.slice(part.start, part.stop - part.start)
