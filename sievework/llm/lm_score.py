@@ -294,22 +294,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         counts = right.column("size").filter(is_word).to_numpy()
         sent = sorted(right.filter(pa.compute.invert(is_word)).select(["bucket", "size", "packed"]).to_pylist(), key=lambda r: r["bucket"])
         texts = left.column("data").to_pylist()
-        keys = np.unique(np.concatenate([np.unique(symbol_keys(texts[part], depth)[0]) for part in chunks(texts)]))
+        # A chunk's distinct keys are looked up once; its symbols point at them. Both lie in arrays of
+        # the block's size that are allotted once, so that chunks leave no gaps in the worker's memory.
+        symbols = sum(len(stream(t)) for t in texts)
+        place, distinct = np.empty(symbols, np.int32), np.empty(symbols, np.int64)
+        looked, used, held = [], 0, 0
+        for part in chunks(texts):
+            wanted, starts = symbol_keys(texts[part], depth)
+            own, at = np.unique(wanted, return_inverse=True)
+            place[used : used + len(at)], distinct[held : held + len(own)] = at, own
+            looked.append((part, slice(used, used + len(at)), slice(held, held + len(own)), starts))
+            used, held = used + len(at), held + len(own)
+            del wanted, own, at
+        keys = np.unique(distinct[:held])
         lp = np.zeros(len(keys))
         lp[np.argsort(bucket_of(keys, buckets), kind="stable")] = np.concatenate([unpack_numbers(r["packed"], r["size"], "<f4") for r in sent])
         base = np.log10((counts + 0.5) / floor)
         index = {w: i for i, w in enumerate(vocab)}
         sums: list[list[np.ndarray]] = [[], [], [], []]
-        for part in chunks(texts):
+        for part, here, own, starts in looked:
             lists = [[*(t.split(SPACE) if t else []), END] for t in texts[part]]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             at = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
             first = np.cumsum(sizes) - sizes
-            wanted, starts = symbol_keys(texts[part], depth)
             sums[0].append(sizes)
             sums[1].append(np.add.reduceat((counts[at] > 0).astype(np.int64), first))
             sums[2].append(np.add.reduceat(base[at], first))
-            sums[3].append(np.add.reduceat(lp[np.searchsorted(keys, wanted)], starts))
+            sums[3].append(np.add.reduceat(lp[np.searchsorted(keys, distinct[own])][place[here]], starts))
         sizes, known, unigram, tree = [np.concatenate(x) if x else np.zeros(0) for x in sums]
         lengths = np.fromiter((len(stream(t)) for t in texts), np.int64, len(texts))
         return pa.table([
