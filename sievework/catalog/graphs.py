@@ -52,6 +52,22 @@ def parts(spark: SparkSession, sf: str) -> gg.Graph:
     return gg.from_edges(e.filter("dst IS NOT NULL"))
 
 
+# Customers and suppliers of a nation in the order of their balance, and its suppliers by key: paths and rings.
+TERRITORY = """raw AS (SELECT id AS src, lead(id) OVER (PARTITION BY nation ORDER BY balance, id) AS dst FROM
+  (SELECT 'c' || c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey, s_acctbal FROM supplier)
+  UNION ALL SELECT 's' || s_suppkey, 's' || lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) FROM supplier),
+ e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM raw WHERE dst IS NOT NULL),
+ a AS (SELECT src AS id, dst AS nbr FROM e UNION ALL SELECT dst, src FROM e)"""
+
+
+def territory(spark: SparkSession, sf: str) -> gg.Graph:
+    customers = table(spark, sf, "customer").selectExpr("concat('c', c_custkey) AS id", "c_nationkey AS nation", "c_acctbal AS balance")
+    suppliers = table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey) AS id", "s_nationkey AS nation", "s_acctbal AS balance", "s_suppkey AS key")
+    ranked = customers.unionByName(suppliers.drop("key")).selectExpr("id AS src", "lead(id) OVER (PARTITION BY nation ORDER BY balance, id) AS dst")
+    ring = suppliers.selectExpr("id AS src", "lead(id) OVER (PARTITION BY nation ORDER BY key) AS dst")
+    return gg.from_edges(cut(ranked.unionByName(ring).filter("dst IS NOT NULL")))
+
+
 def users(spark: SparkSession, sf: str) -> gg.Graph:
     w = W.partitionBy("event_type", F.date_trunc("hour", F.col("ts"))).orderBy("ts", "event_id")
     e = table(spark, sf, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), F.col("event_id").alias(ROW_ID))
@@ -250,13 +266,25 @@ def g14(spark, sf):
     return gcl.important_nodes(sparse(spark, sf))
 
 
-# An edge of a sparse graph is a bridge exactly when one end cannot reach the other without it;
-# pendant edges are the SQL-checkable share, the rest is tested by brute force.
-@query("g15_bridges")
+# An edge is a bridge exactly when one end cannot reach the other without it.
+BRIDGES_SQL = """ reach AS (SELECT src, dst, src AS spot FROM e WHERE src <> dst
+  UNION SELECT r.src, r.dst, a.nbr FROM reach r JOIN a ON a.id = r.spot AND NOT (a.id = r.src AND a.nbr = r.dst) AND NOT (a.id = r.dst AND a.nbr = r.src))
+ SELECT src, dst FROM reach GROUP BY 1, 2 HAVING NOT bool_or(spot = dst)"""
+# A vertex is a cut vertex exactly when one of its neighbours cannot reach another without it.
+CUTS_SQL = """ reach AS (SELECT id, min(nbr) AS spot FROM a GROUP BY 1 UNION SELECT r.id, a.nbr FROM reach r JOIN a ON a.id = r.spot AND a.nbr <> r.id)
+ SELECT DISTINCT a.id FROM a ANTI JOIN reach r ON r.id = a.id AND r.spot = a.nbr"""
+
+
+@query("g15_bridges", f"WITH RECURSIVE {PAGES}, {BRIDGES_SQL}")
 def g15(spark, sf):
     return gb.bridges(sparse(spark, sf))
 
 
+@query("g15_territory_bridges", f"WITH RECURSIVE {TERRITORY}, {BRIDGES_SQL}")
+def g15t(spark, sf):
+    return gb.bridges(territory(spark, sf))
+
+
 @query("g15_pendant_bridges", f"WITH {PAGES} SELECT src, dst FROM e WHERE src <> dst AND (src IN (SELECT id FROM deg WHERE degree = 1) OR dst IN (SELECT id FROM deg WHERE degree = 1))")
 def g15p(spark, sf):
     g = sparse(spark, sf)
@@ -408,11 +436,16 @@ def g31(spark, sf):
     return gp.betweenness(flow(spark, sf)).selectExpr("id", "round(betweenness, 6) AS betweenness")
 
 
-@query("g32_articulation_points")
+@query("g32_articulation_points", f"WITH RECURSIVE {PAGES}, {CUTS_SQL}")
 def g32(spark, sf):
     return gb.articulation_points(sparse(spark, sf))
 
 
+@query("g32_territory_points", f"WITH RECURSIVE {TERRITORY}, {CUTS_SQL}")
+def g32t(spark, sf):
+    return gb.articulation_points(territory(spark, sf))
+
+
 EIG_SQL = f"""WITH RECURSIVE {PARTS}, b AS (SELECT * FROM a UNION ALL SELECT src, dst FROM e WHERE src = dst), x(i, id, x) AS (SELECT 0, id, 1.0::DOUBLE FROM v UNION ALL SELECT i, id, y / max(y) OVER () FROM (
  SELECT p.i + 1 AS i, p.id, p.x + coalesce(s.s, 0) AS y FROM x p LEFT JOIN (SELECT b.nbr AS id, sum(q.x) AS s FROM x q JOIN b ON b.id = q.id GROUP BY 1) s USING (id) WHERE p.i < 120))"""
 

@@ -65,6 +65,21 @@ def test_bridges_and_cut_vertices_against_removal(spark, seed, n, m):
     assert got == {x: min(c) for c in parts(nodes, edges) for x in c}
 
 
+def test_blocks_of_a_long_path_with_a_ring_and_a_hub(spark):
+    """Depth does not matter: a path of 2,000 vertices, a ring at its end, a star, a lone vertex."""
+    path = [(i, i + 1) for i in range(2000)]
+    ring = [(2000 + i, 2001 + i) for i in range(5)] + [(2000, 2005)]
+    star = [(3000, 3001 + i) for i in range(300)]
+    g = make(spark, path + ring + star, extra=[9999])
+    assert {(r.src, r.dst) for r in gb.bridges(g).collect()} == set(path) | set(star)
+    assert {r.id for r in gb.articulation_points(g).collect()} == set(range(1, 2001)) | {3000}
+
+
+def test_blocks_without_edges(spark):
+    g = make(spark, [(1, 1)], extra=[2])
+    assert gb.bridges(g).count() == 0 and gb.articulation_points(g).count() == 0
+
+
 def test_barbell_measures(spark):
     g = make(spark, BARBELL)
     assert {(r.src, r.dst) for r in gb.bridges(g).collect()} == {(2, 3)}
