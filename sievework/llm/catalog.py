@@ -67,7 +67,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("_cell_source").alias("source"), F.col("_cell_lang").alias("lang"), F.col("_cell_topic").alias("topic"),
         F.col("_tokens").alias("tokens"), F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"),
-        F.col("_sampled").alias("sampled"))
+        F.col("_copies").alias("copies"), F.col("_sampled").alias("sampled"))
 
 
 @query("op9_context_tree")

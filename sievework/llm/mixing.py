@@ -13,6 +13,8 @@ OTHER = "(other)"
 # The raking table has one cell for each combination of the listed categories.
 MAX_CELLS = 1_000_000
 TRIM = 1e6
+# A document is taken at most this often unless the caller says otherwise.
+MOST_COPIES = 8.0
 
 
 def word_count(text: Column) -> Column:
@@ -38,53 +40,67 @@ def category(value: Column, targets: Mapping[str, float]) -> Column:
     return F.coalesce(F.when(value.isin(*targets), value), F.lit(OTHER))
 
 
-def rake(mass: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-12, max_sweeps: int = 10_000) -> np.ndarray:
-    """Weights w so that mass * w has the target sum along each axis; the total stays.
+def rake(
+    mass: np.ndarray, targets: list[np.ndarray], tolerance: float = 1e-12, max_sweeps: int = 10_000, most: float = TRIM,
+) -> np.ndarray:
+    """Weights w, at most `most`, so that mass * w has the target sum along each axis; the total stays.
 
     A target of a category without mass is shared among the others; categories with mass but target
-    zero get weight 0. Where empty cells keep the marginals from being met together, the sweeps end
-    once they no longer come nearer; weights stay within TRIM and its inverse.
+    zero get weight 0. A weight is the product of one factor for each axis, cut at `most`; factors keep
+    their size beyond the cut, so the cells below it take over what the cut ones cannot give. Where empty
+    cells or cut weights keep the marginals from being met together, the sweeps end once they no longer
+    come nearer; `report` shows the shares reached.
     """
     total = mass.sum()
-    weights = np.ones_like(mass)
     if total == 0:
-        return weights
+        return np.ones_like(mass)
     wanted = []
     for axis, t in enumerate(targets):
-        present = mass.sum(axis=tuple(i for i in range(mass.ndim) if i != axis)) > 0
+        present = _marginal(mass, axis) > 0
         kept = np.where(present, t, 0.0)
         if kept.sum() <= 0:
             raise ValueError("no category with a target above zero has mass")
         wanted.append(kept / kept.sum() * total)
+    factors = [np.ones(n) for n in mass.shape]
+
+    def product() -> np.ndarray:
+        w = np.ones_like(mass)
+        for axis, f in enumerate(factors):
+            w = w * f.reshape([-1 if i == axis else 1 for i in range(mass.ndim)])
+        return np.where(w > 0, np.clip(w, 1 / TRIM, most), 0.0)
+
     before = math.inf
     for sweep in range(1, max_sweeps + 1):
         worst = 0.0
         for axis, want in enumerate(wanted):
-            have = (mass * weights).sum(axis=tuple(i for i in range(mass.ndim) if i != axis))
+            have = _marginal(mass * product(), axis)
             factor = np.divide(want, have, out=np.ones_like(want), where=have > 0)
             worst = max(worst, float(np.abs(want - have).max() / total))
-            weights = weights * factor.reshape([-1 if i == axis else 1 for i in range(mass.ndim)])
-        weights = np.where(weights > 0, np.clip(weights, 1 / TRIM, TRIM), 0.0)
+            factors[axis] = np.where(factor > 0, np.clip(factors[axis] * factor, 1 / TRIM**2, TRIM**2), 0.0)
         if worst < tolerance:
             break
         if sweep % 100 == 0:
             if worst > 0.999 * before:
                 break
             before = worst
-    return weights
+    return product()
+
 
+def _marginal(mass: np.ndarray, axis: int) -> np.ndarray:
+    return mass.sum(axis=tuple(i for i in range(mass.ndim) if i != axis))
 
-def calibrate(mass: np.ndarray, weights: np.ndarray, share: float) -> float:
-    """c with sum(mass * min(1, c * weights)) = share * sum(mass); infinite if only p = 1 reaches it."""
+
+def calibrate(mass: np.ndarray, weights: np.ndarray, share: float, most: float = 1.0) -> float:
+    """c with sum(mass * min(most, c * weights)) = share * sum(mass); infinite if only the cut reaches it."""
     m, w = mass[(mass > 0) & (weights > 0)], weights[(mass > 0) & (weights > 0)]
     order = np.argsort(-w)
     m, w = m[order], w[order]
     want = share * mass.sum()
-    full = np.concatenate([[0.0], np.cumsum(m)])
+    full = np.concatenate([[0.0], np.cumsum(m)]) * most
     rest = np.concatenate([np.cumsum((m * w)[::-1])[::-1], [0.0]])
     for capped in range(len(m)):
         c = (want - full[capped]) / rest[capped]
-        if c * w[capped] <= 1:
+        if c * w[capped] <= most * (1 + 1e-9):
             return max(0.0, c)
     return math.inf
 
@@ -97,16 +113,19 @@ def unit_hash(seed: int, *cols: Column) -> Column:
 
 def mix(
     docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, columns: Mapping[str, Column] | None = None,
-    tokens: Column | None = None, id_col: str = "doc_id", seed: int = 5,
+    tokens: Column | None = None, id_col: str = "doc_id", seed: int = 5, most: float = MOST_COPIES,
 ) -> DataFrame:
-    """Every row with its cell, `_tokens`, `_weight`, `_probability` and whether it is `_sampled`.
+    """Every row with its cell, `_tokens`, `_weight`, `_probability`, `_copies` and whether it is `_sampled`.
 
     targets: for each dimension (two or more), the target share of tokens for listed categories; what
     is not listed, null included, is the category OTHER with its own share of tokens. columns: the
     column of each dimension (the one of its name if not given). Token weights are raked to all
-    target marginals at once, then p = min(1, c * weight), with c so that the expected tokens are
-    `share` of all. A row is sampled if a hash of its id and cell falls below p, so repeated rows of
-    an id share their fate and a rerun samples the same rows.
+    target marginals at once; rate = c * weight, with c so that the expected tokens are `share` of all.
+    A row is taken floor(rate) times, and once more if a hash of its id and cell falls below the rest,
+    so a category scarcer than its target is repeated and the sample has the raked shares in expectation.
+    Its probability to be sampled at all is min(1, rate). No rate exceeds `most`, a bound on repeats that
+    raking works under; `report` gives target, raked and sampled shares. Repeated rows of an id share
+    their fate and a rerun samples the same rows.
 
     The cells are the product of the listed categories and OTHER, so the one table that reaches the
     driver has a size fixed by the arguments (an error above MAX_CELLS), whatever the number of rows.
@@ -123,29 +142,60 @@ def mix(
     marked = docs.withColumns({**named, "_tokens": tokens if tokens is not None else word_count(F.col("text"))})
     cells = marked.groupBy(*named).agg(F.sum("_tokens").alias("mass")).collect()
     lists = [[*targets[d], OTHER] for d in dims]
-    mass = np.zeros([len(x) for x in lists])
-    for row in cells:
-        mass[tuple(names.index(row[f"_cell_{d}"]) for d, names in zip(dims, lists))] = float(row["mass"] or 0)
-    total = mass.sum()
-    shares = []
-    for axis, d in enumerate(dims):
-        own = mass.sum(axis=tuple(i for i in range(mass.ndim) if i != axis))
-        rest = own[-1] / total if total else 0.0
-        listed = np.array([float(targets[d][c]) for c in lists[axis][:-1]])
-        shares.append(np.append(listed / listed.sum() * (1 - rest), rest))
-    weights = rake(mass, shares)
-    c = calibrate(mass, weights, share)
+    mass = _cell_masses(cells, dims, lists, "mass")
+    weights = rake(mass, _goals(mass, targets), most=most / share)
+    c = calibrate(mass, weights, share, most)
     with np.errstate(invalid="ignore"):
-        chance = np.where(weights > 0, np.minimum(1.0, c * weights), 0.0)
+        rate = np.where(weights > 0, np.minimum(most, c * weights), 0.0)
     table = [
-        (*[names[i] for names, i in zip(lists, at)], float(weights[at]), float(chance[at]))
+        (*[names[i] for names, i in zip(lists, at)], float(weights[at]), float(rate[at]))
         for at in (tuple(names.index(row[f"_cell_{d}"]) for d, names in zip(dims, lists)) for row in cells)
     ]
-    schema = ", ".join([*[f"_cell_{d} string" for d in dims], "_weight double", "_probability double"])
+    schema = ", ".join([*[f"_cell_{d} string" for d in dims], "_weight double", "_rate double"])
     found = F.broadcast(docs.sparkSession.createDataFrame(table, schema))  # at most MAX_CELLS rows
-    joined = marked.drop("_weight", "_probability", "_sampled").join(found, list(named))
+    joined = marked.drop("_weight", "_rate", "_probability", "_copies", "_sampled").join(found, list(named))
     draw = unit_hash(seed, F.col(id_col), *[F.col(n) for n in named])
-    return joined.withColumn("_sampled", draw < F.col("_probability"))
+    copies = F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")
+    return joined.withColumns({"_probability": F.least(F.lit(1.0), F.col("_rate")), "_copies": copies}).withColumn("_sampled", F.col("_copies") > 0).drop("_rate")
+
+
+def _cell_masses(cells: list, dims: list[str], lists: list[list[str]], name: str) -> np.ndarray:
+    out = np.zeros([len(x) for x in lists])
+    for row in cells:
+        out[tuple(names.index(row[f"_cell_{d}"]) for d, names in zip(dims, lists))] = float(row[name] or 0)
+    return out
+
+
+def _goals(mass: np.ndarray, targets: Mapping[str, Mapping[str, float]]) -> list[np.ndarray]:
+    """Target shares of each axis: OTHER keeps its own share, the listed categories with mass divide the rest."""
+    total, goals = mass.sum(), []
+    for axis, wanted in enumerate(targets.values()):
+        own = _marginal(mass, axis)
+        rest = own[-1] / total if total else 0.0
+        listed = np.where(own[:-1] > 0, [float(x) for x in wanted.values()], 0.0)
+        goals.append(np.append(listed / (listed.sum() or 1.0) * (1 - rest), rest))
+    return goals
+
+
+def report(mixed: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """(dimension, category, own, target, raked, sampled): shares of tokens in the rows of `mix`.
+
+    own is the share before mixing; sampled counts every copy. Categories without mass have
+    target zero; where targets cannot be met together, raked and target differ. An empty table,
+    and a sample without tokens, give zeros. Only the cell table reaches the driver.
+    """
+    dims = list(targets)
+    t = F.col("_tokens")
+    cells = mixed.groupBy(*[f"_cell_{d}" for d in dims]).agg(
+        F.sum(t).alias("own"), F.sum(t * F.col("_weight")).alias("raked"), F.sum(t * F.col("_copies")).alias("sampled")).collect()
+    lists = [[*targets[d], OTHER] for d in dims]
+    parts = {n: _cell_masses(cells, dims, lists, n) for n in ("own", "raked", "sampled")}
+    rows = []
+    for axis, (d, goal) in enumerate(zip(dims, _goals(parts["own"], targets))):
+        shares = {n: _marginal(m, axis) / (m.sum() or 1.0) for n, m in parts.items()}
+        for i, name in enumerate(lists[axis]):
+            rows.append((d, name, float(shares["own"][i]), float(goal[i]), float(shares["raked"][i]), float(shares["sampled"][i])))
+    return mixed.sparkSession.createDataFrame(rows, "dimension string, category string, own double, target double, raked double, sampled double")
 
 
 # Shares of tokens that the registered queries ask for; categories not listed keep their own share.

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.operators.components import min_label_components
 from sievework.session import cut
@@ -56,7 +57,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col("`" + n.replace("`", "``") + "`") for n in docs.columns])
+    """A hash of all columns; those that hold maps, which have no hash, go in as JSON text."""
+    def plain(field: T.StructField) -> Column:
+        value = F.col("`" + field.name.replace("`", "``") + "`")
+        return F.to_json(F.struct(value.alias("x"))) if "map<" in field.dataType.simpleString() else value
+
+    return F.xxhash64(*[plain(f) for f in docs.schema.fields])
 
 
 def anchor_rows(fps: DataFrame) -> DataFrame:
@@ -212,8 +218,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of one document of each component: the one with the smallest id.
 
     Where rows repeat that id, the smallest by a hash of the row stays, once. Components without any
-    id keep one row too. All columns come back as they were.
+    id keep one row too. All columns come back as they were, whatever their names and types.
     """
+    own = docs.columns
+    # Columns beside the id and the text go under fresh names meanwhile, so none clashes with a helper.
+    docs = docs.toDF(*[n if n in (id_col, text_col) else f"column_{i}" for i, n in enumerate(own)])
     fps = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     labels = components_of(fps, max_bits).select("fp", "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("first")
@@ -225,4 +234,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
     marked = docs.withColumn("_hash", row_hash(docs))
     same = (F.col("_hash") == F.col("_kept_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_hash", id_col]).select(*["`" + n.replace("`", "``") + "`" for n in names])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["_hash", id_col]).select(*["`" + n.replace("`", "``") + "`" for n in names]).toDF(*own)

@@ -93,6 +93,44 @@ def test_mixing_meets_every_marginal():
     assert math.isclose(float((mass * np.minimum(1, c * weights)).sum()), 0.5 * mass.sum(), rel_tol=1e-9)
 
 
+def test_raking_under_a_bound_on_weights():
+    """Cut cells hand their tokens to others of the category while those have room; else it falls short."""
+    mass = np.array([[8.0, 1.0], [90.0, 1.0]])
+    goals = [np.array([0.3, 0.7]), np.array([0.9, 0.1])]
+    free, cut = mixing.rake(mass, goals), mixing.rake(mass, goals, most=5.5)
+    assert free.max() > 5.5 >= cut.max()
+    for axis, goal in enumerate(goals):
+        assert np.allclose((mass * cut).sum(axis=1 - axis) / 100, goal, atol=1e-6)
+    assert math.isclose(float((mass * mixing.rake(mass, goals, most=2.0)).sum(axis=1)[0]), 18.0, rel_tol=1e-6)
+
+
+def test_mixed_sample_meets_its_marginals(spark):
+    """Whole documents table: cells and raking recomputed plainly, shares of the sample near the targets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = mixing.mixed_documents(docs)
+    rows = mixed.select("doc_id", "text", "source", "lang", "_tokens", "_cell_topic", "_weight", "_probability", "_copies", "_sampled").collect()
+    names = [[*t, mixing.OTHER] for t in mixing.TARGETS.values()]
+    mass, weight = np.zeros([len(n) for n in names]), np.zeros([len(n) for n in names])
+    for r in rows:
+        assert r["_tokens"] == len([w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w])
+        at = tuple(n.index(v if v in n else mixing.OTHER) for n, v in zip(names, (r["source"], r["lang"], r["_cell_topic"])))
+        mass[at] += r["_tokens"]
+        weight[at] = r["_weight"]
+        assert r["_sampled"] == (r["_copies"] > 0) and 0 <= r["_copies"] <= mixing.MOST_COPIES
+        assert r["_copies"] in (math.floor(mixing.SHARE * r["_weight"]), math.floor(mixing.SHARE * r["_weight"]) + 1)
+    for axis, (dim, goal) in enumerate(mixing.TARGETS.items()):
+        got = (mass * weight).sum(axis=tuple(i for i in range(3) if i != axis)) / mass.sum()
+        own = mass.sum(axis=tuple(i for i in range(3) if i != axis))
+        rest, present = own[-1] / mass.sum(), sum(goal[n] for n, m in zip(names[axis], own) if n in goal and m > 0)
+        for name, m, share in zip(names[axis], own, got):
+            want = rest if name == mixing.OTHER else goal[name] / present * (1 - rest) if m > 0 else 0.0
+            assert abs(share - want) < 1e-3, (dim, name, share, want)
+    for r in mixing.report(mixed, mixing.TARGETS).collect():
+        assert abs(r["raked"] - r["target"]) < 1e-3 and abs(r["sampled"] - r["raked"]) < 0.03, r
+    assert abs(sum(r["_copies"] * r["_tokens"] for r in rows) / mass.sum() - mixing.SHARE) < 0.05
+    assert all(r["sampled"] == 0 for r in mixing.report(mixing.mixed_documents(docs.limit(0)), mixing.TARGETS).collect())
+
+
 def test_mixing_edge_rows(spark):
     rows = [(1, "a b", "src0", "en"), (2, None, None, None), (2, None, None, None), (None, "c " * 5000, "zzz", "de")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").selectExpr("*", "1 AS _weight")

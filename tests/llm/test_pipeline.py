@@ -38,3 +38,20 @@ def test_stages_take_edge_rows(spark, tmp_path):
             if name == "secrets":
                 assert all("abcdefghij" not in (r["text"] or "") for r in now.collect())
         assert (now.count() == 0) == (start.count() == 0) or start is docs
+
+
+def test_columns_of_the_user_come_through(spark, tmp_path):
+    """Names of helper columns, dots and maps: values stay with their documents up to packing."""
+    names = ["_tokens", "_spans", "_toxic_score", "_hash", "_kept_id", "_kept_hash", "_copies", "_weight", "column_0", "a.b"]
+    texts = ["one two three %d %s" % (i, " ".join("w%d" % (i * j) for j in range(9))) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names], "map('k', doc_id) AS m")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.cut(stage(spark, now, str(tmp_path)))
+        assert now.columns == docs.columns
+        found = now.collect()
+        assert found
+        for r in found:
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names] and r["m"] == {"k": r["doc_id"]}
