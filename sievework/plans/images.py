@@ -12,7 +12,6 @@ from sievework.operators import images as im
 from sievework.operators import metrics, train
 from sievework.operators.encode import label_codes, label_encode
 from sievework.operators.ordering import ordered_index
-from sievework.operators.outliers import standardize
 from sievework.operators.rules import drop_rare_classes
 from sievework.session import cut
 
@@ -48,9 +47,9 @@ def image_models(images: DataFrame, labels: DataFrame | None = None, models: lis
     if rows.count() < 20:
         return None
     names = [f"x{i}" for i in range(37)]
-    rows = standardize(label_encode(rows, "label", cut(label_codes(rows, "label"))), names)
+    rows = label_encode(rows, "label", cut(label_codes(rows, "label")))
     data = cut(train.assemble(rows, names, "label"))
-    a, b = train.stratified_split(data, "label", test, seed)
+    a, b = train.scale_by_train(*train.stratified_split(data, "label", test, seed))
     return train.evaluate_models(a, b, models or MODELS, "classification")
 
 

@@ -158,3 +158,41 @@ def test_split_is_independent_of_partitioning(spark):
     a = {r[0] for r in train.split(df.repartition(2), 0.2)[1].collect()}
     b = {r[0] for r in train.split(df.repartition(7), 0.2)[1].collect()}
     assert a == b and len(a) == 21
+
+
+def labelled_vectors(spark, n, classes):
+    """Mostly class 0; the feature tells the class."""
+    df = spark.range(n).selectExpr(f"id AS {ROW_ID}", f"IF(id % 4 < 2, 0, id % {classes}) AS y")
+    return train.assemble(df.selectExpr("*", f"y * 10.0D + {ROW_ID} % 3 AS a", "1.0D AS same"), ["a", "same"], "y")
+
+
+def test_folds_spread_every_class(spark):
+    tagged = train.stratified_folds(labelled_vectors(spark, 203, 7), 5)
+    per = {}
+    for r in tagged.groupBy("label", "_fold").count().collect():
+        per.setdefault(r["label"], {})[r["_fold"]] = r["count"]
+    assert sum(sum(x.values()) for x in per.values()) == 203
+    for counts in per.values():
+        got = [counts.get(f, 0) for f in range(5)]
+        assert max(got) - min(got) <= 1
+
+
+def test_scaling_learns_from_the_training_side(spark):
+    data = labelled_vectors(spark, 40, 3)
+    a, b = train.scale_by_train(data.filter(f"{ROW_ID} < 30"), data.filter(f"{ROW_ID} >= 30"))
+    raw = [r["features"][0] for r in data.filter(f"{ROW_ID} < 30").orderBy(ROW_ID).collect()]
+    mean = sum(raw) / 30
+    spread = (sum((x - mean) ** 2 for x in raw) / 29) ** 0.5
+    assert [r["features"][0] for r in a.orderBy(ROW_ID).collect()] == pytest.approx([(x - mean) / spread for x in raw])
+    first = data.filter(f"{ROW_ID} = 30").first()["features"][0]
+    assert b.orderBy(ROW_ID).first()["features"][0] == pytest.approx((first - mean) / spread)
+    assert {r["features"][1] for r in a.union(b).collect()} == {0.0}
+
+
+def test_area_only_for_two_classes(spark):
+    for classes, told in ((2, True), (3, False)):
+        data = labelled_vectors(spark, 60, classes)
+        _, pred = train.fit_predict(data, data, "decision_tree", "classification")
+        assert ("score" in pred.columns) == told
+        area = train.evaluate_models(data, data, ["decision_tree"], "classification").first()["roc_auc"]
+        assert (area == 1.0) if told else area is None
