@@ -215,7 +215,8 @@ def invented(count: int, seed: int) -> list[tuple[str, int]]:
 def findings(docs: DataFrame, text_col: str, max_docs: int, seed: int) -> list[tuple[str, int]]:
     """Labelled windows of a hashed sample of about `max_docs` texts: base values, and what is none.
 
-    Candidates outside base spans count as no secrets; at most `max_docs` windows of a label are kept.
+    Candidates outside base spans count as no secrets. Up to four windows of a finding are taken, and at
+    most a quarter of `max_docs` windows of a label are kept, those of the smallest hash.
     """
     n = docs.count()
     share = min(1.0, max_docs / max(1, n))
@@ -235,7 +236,11 @@ def findings(docs: DataFrame, text_col: str, max_docs: int, seed: int) -> list[t
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32())], names=["window", "y"])
 
     text = F.col(text_col)
-    chosen = docs.filter(text.isNotNull()).select(text.alias("t")).filter(F.pmod(F.xxhash64(F.lit(seed), "t"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # A millionth of the texts for each slot, and a finer hash for the fraction of a slot that is left.
+    slots = int(share * 1_000_000)
+    slot = F.pmod(F.xxhash64(F.lit(seed), "t"), F.lit(1_000_000))
+    finer = F.pmod(F.xxhash64(F.lit(seed + 1), "t"), F.lit(1 << 40)) < int((share * 1_000_000 - slots) * (1 << 40))
+    chosen = docs.filter(text.isNotNull()).select(text.alias("t")).filter((slot < slots) | ((slot == slots) & finer))
     rows = chosen.mapInArrow(run, "window string, y int").distinct()
     ranked = rows.withColumn("h", F.xxhash64(F.lit(seed), "window"))
     out = []
