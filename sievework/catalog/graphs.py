@@ -509,6 +509,33 @@ def g42(spark, sf):
     return gc.louvain(dense(spark, sf))
 
 
+# Each nation with its suppliers is a star; a ring joins the nations so weakly that merging two never gains.
+STARS = """hub AS (SELECT -(s_nationkey + 1) AS id FROM supplier GROUP BY 1), ring AS (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM hub),
+ e AS (SELECT -(s_nationkey + 1) AS src, s_suppkey AS dst, 1.0 AS w FROM supplier
+  UNION ALL SELECT id, nxt, 0.1 / (SELECT count(*) FROM supplier) FROM ring WHERE nxt IS NOT NULL),
+ pt AS (SELECT s_suppkey AS id, -(s_nationkey + 1) AS c FROM supplier UNION ALL SELECT id, id FROM hub)"""
+
+
+def stars(spark: SparkSession, sf: str) -> gg.Graph:
+    s = table(spark, sf, "supplier").selectExpr("-(s_nationkey + 1) AS src", "s_suppkey AS dst")
+    hub = s.selectExpr("src AS id").distinct()
+    ring = hub.select(F.col("id").alias("src"), F.lead("id").over(W.orderBy("id")).alias("dst")).filter("dst IS NOT NULL")
+    far = ring.crossJoin(F.broadcast(s.agg((0.1 / F.count("*")).alias("weight"))))
+    e = s.withColumn("weight", F.lit(1.0)).unionByName(far)
+    return gg.from_edges(e.select(F.col("src").cast("long"), F.col("dst").cast("long"), "weight", F.xxhash64("src", "dst").alias(ROW_ID)))
+
+
+@query("g42_louvain_stars", f"""WITH {STARS}, tot AS (SELECT sum(w) AS m FROM e),
+ i AS (SELECT a.c, sum(w) AS l FROM e JOIN pt a ON src = a.id JOIN pt b ON dst = b.id WHERE a.c = b.c GROUP BY 1),
+ d AS (SELECT c, sum(w) AS k FROM (SELECT src AS id, w FROM e UNION ALL SELECT dst, w FROM e) JOIN pt USING (id) GROUP BY 1),
+ q AS (SELECT sum(l / m - (k / (2 * m)) * (k / (2 * m))) AS modularity FROM i JOIN d USING (c), tot)
+ SELECT CAST(id AS BIGINT) AS id, CAST(c AS BIGINT) AS community, round(modularity, 9) AS modularity FROM pt, q""")
+def g42s(spark, sf):
+    g = stars(spark, sf)
+    part = cut(gc.louvain(g, tolerance=0))
+    return part.crossJoin(F.broadcast(gc.modularity(g, part))).selectExpr("id", "community", "round(modularity, 9) AS modularity")
+
+
 # Contract of both community searches: at least the modularity of single vertices.
 @query("g42_louvain_quality", f"WITH {PAGES} SELECT count(*) AS nodes, true AS better_than_single FROM v")
 def g42q(spark, sf):

@@ -100,6 +100,23 @@ def test_barbell_measures(spark):
     assert e[0] == pytest.approx(1.0) and e[2] == pytest.approx(1 / 3)
 
 
+def test_louvain_ends_where_no_vertex_gains(spark):
+    rng = random.Random(11)
+    edges = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(70)})
+    part = {r.id: r.community for r in gc.louvain(make(spark, edges, extra=[40]), tolerance=0).collect()}
+    assert part[40] == 40 and all(c == min(v for v in part if part[v] == c) for c in part.values())
+    deg = {v: sum(v in e for e in edges) for v in part}
+
+    def q(p):
+        inside = sum(p[a] == p[b] for a, b in edges) / len(edges)
+        return inside - sum((sum(deg[v] for v in p if p[v] == c) / (2 * len(edges))) ** 2 for c in set(p.values()))
+
+    # Merging two of the returned communities never gains, and the whole beats single vertices.
+    names = sorted(set(part.values()))
+    assert all(q({v: a if c == b else c for v, c in part.items()}) <= q(part) + 1e-9 for a in names for b in names if a < b)
+    assert q(part) > q({v: v for v in part}) + 0.2
+
+
 def test_star_and_path(spark):
     star = make(spark, [(0, i) for i in range(1, 8)], extra=[9])
     d = {r.id: r.degree for r in gg.degrees(star).collect()}
