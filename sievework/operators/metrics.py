@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.columns import c
 from sievework.operators.ordering import exact_quantiles
+from sievework.session import cut, discard
 
 
 def _ratio(top, bottom):
@@ -84,24 +85,29 @@ def mean_f1(report: DataFrame) -> DataFrame:
     return report.agg(F.avg("f1").alias("mean_f1"))
 
 
-def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Exact rank-sum area for 0/1 labels; null unless both classes occur.
+# Distinct scores that one task of the area ranks.
+SCORES_PER_RANGE = 1_000_000
 
-    Equal scores are merged first. The running counts are then taken in two levels: inside score
-    ranges, and over the few ranges.
+
+def roc_auc(pred: DataFrame, label: str = "label", score: str = "score", per_range: int = SCORES_PER_RANGE) -> DataFrame:
+    """Exact rank-sum area for 0/1 labels; null unless both classes occur. Rows without a score are left out.
+
+    Equal scores are merged first, so no key is hot. The running counts are then taken in two levels: inside
+    sorted ranges cut at sampled quantiles, about `per_range` distinct scores each however scores are spread,
+    and over the ranges.
     """
-    by_score = pred.groupBy(c(score).cast("double").alias("s")).agg(
+    by_score = cut(pred.groupBy(c(score).cast("double").alias("s")).agg(
         F.sum((c(label) == 1).cast("long")).alias("pos"), F.sum((c(label) != 1).cast("long")).alias("neg")
-    )
-    bounds = by_score.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    # One-row side; the bucket number is monotone in the score.
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    binned = by_score.join(F.broadcast(bounds)).withColumn("b", F.floor(width * 4096))
-    per = binned.groupBy("b").agg(F.sum("neg").alias("bn"))
+    ).filter("s IS NOT NULL"))
+    ranges = by_score.count() // per_range + 1
+    placed = cut(by_score.repartitionByRange(ranges, "s").withColumn("b", F.spark_partition_id()))
+    discard(by_score)
+    # One row a range: their number follows the distinct scores divided by `per_range`.
+    per = placed.groupBy("b").agg(F.sum("neg").alias("bn"))
     before = per.select("b", (F.sum("bn").over(W.orderBy("b")) - F.col("bn")).alias("base"))
     inside = W.partitionBy("b").orderBy("s")
     won = (F.col("base") + F.sum("neg").over(inside) - F.col("neg")) + F.col("neg") / 2
-    total = binned.join(before, "b").withColumn("w", F.col("pos") * won).agg(
+    total = placed.join(before, "b").withColumn("w", F.col("pos") * won).agg(
         F.sum("w").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return total.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("roc_auc"))
 

@@ -196,3 +196,13 @@ def test_area_only_for_two_classes(spark):
         assert ("score" in pred.columns) == told
         area = train.evaluate_models(data, data, ["decision_tree"], "classification").first()["roc_auc"]
         assert (area == 1.0) if told else area is None
+
+
+def test_area_with_nearly_all_scores_in_one_spot(spark):
+    rng = random.Random(5)
+    rows = [(rng.random() < 0.4, rng.choice([1e-9 * rng.randrange(300), 0.0, 1e6 * rng.random()] if i % 100 == 0 else [1e-9 * rng.randrange(300)])) for i in range(1500)]
+    df = spark.createDataFrame([(int(a), float(s)) for a, s in rows] + [(1, None)], "label int, score double")
+    pos, neg = [s for a, s in rows if a], [s for a, s in rows if not a]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    for size in (50, 1_000_000):
+        assert metrics.roc_auc(df, per_range=size).first()[0] == pytest.approx(want)
