@@ -243,6 +243,44 @@ def test_search_in_several_batches(spark, directed, monkeypatch):
         assert {r.id: r.eccentricity for r in gp.eccentricity(g).collect()} == {x: w[2] for x, w in turned.items()}
 
 
+def test_components_share_the_numbers_of_their_sources(spark):
+    """A star of 70 vertices, a path of 5, a ring of 3, a lone one: one batch of 128 serves all, and sampled sources too."""
+    from sievework.operators import graph_search as gs
+
+    edges = [(0, i) for i in range(1, 70)] + [(100 + i, 101 + i) for i in range(4)] + [(200, 201), (201, 202), (200, 202)]
+    g = make(spark, edges, [300])
+    numbers, most = gs._numbered(g, None)
+    assert most == 70 and sorted(r["at"] for r in numbers.filter("id >= 100").collect()) == [0, 0, 0, 1, 1, 2, 2, 3, 4]
+    assert gs._width(1024, most) == 128
+    some = spark.createDataFrame([(3,), (101,), (104,), (300,)], "source int")
+    assert gs._numbered(g, some)[1] == 2
+    got = {r.id: (r.reached, r.total, r.far) for r in gs.distance_sums(g, some).collect()}
+    assert got[101] == (1, 3, 3) and got[0] == (1, 1, 1) and got[200] == (0, 0, 0) and got[300] == (0, 0, 0)
+    far = {r.id: r.far for r in gs.path_sums(g).collect()}
+    assert far[7] == 2 and far[0] == 1 and far[102] == 2 and far[100] == 4 and far[201] == 1 and far[300] == 0
+
+
+def test_triangles_send_the_lists_of_the_higher_ends(spark):
+    """A star over a ring: no list of the hub's leaves travels, and edges count their triangles."""
+    rng = random.Random(5)
+    edges = {(0, i) for i in range(1, 30)} | {(i, i + 1) for i in range(1, 29)} | {tuple(sorted(rng.sample(range(30), 2))) for _ in range(60)}
+    g = make(spark, sorted(edges))
+    near = {x: {b if a == x else a for a, b in edges if x in (a, b)} for x in range(30)}
+    common = gmo.common_neighbors(g)
+    assert {(r.src, r.dst): r.common for r in common.collect()} == {(a, b): len(near[a] & near[b]) for a, b in edges}
+    assert "array_intersect" in common._jdf.queryExecution().toString()
+    assert gmo.triangles(g).agg({"triangles": "sum"}).first()[0] == sum(len(near[a] & near[b]) for a, b in edges)
+
+
+def test_sources_run_their_windows_once(spark, tmp_path):
+    from sievework.catalog import graphs as cg
+
+    spark.sql("SELECT 1L AS l_orderkey, id + 5 AS l_partkey, CAST(id AS INT) AS l_linenumber, 2D AS l_quantity, 3D AS l_extendedprice FROM range(3)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    g = cg.parts(spark, str(tmp_path))
+    assert "Window" not in g.vertices._jdf.queryExecution().toString()
+    assert sorted((r.src, r.dst) for r in g.edges.collect()) == [(5, 6), (6, 7)]
+
+
 def test_search_of_empty_and_edgeless_graphs(spark):
     lone = make(spark, [], [1, 2])
     assert sorted(map(tuple, gp.path_measures(lone).collect())) == [(1, 0, 0, 0, 0.0), (2, 0, 0, 0, 0.0)]
