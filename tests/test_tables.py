@@ -206,3 +206,29 @@ def test_area_with_nearly_all_scores_in_one_spot(spark):
     want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
     for size in (50, 1_000_000):
         assert metrics.roc_auc(df, per_range=size).first()[0] == pytest.approx(want)
+
+
+def test_fourier_map_is_one_product_a_batch(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, 1.0, Vectors.dense([i * 0.5, -i, 3.0])) for i in range(40)]
+    mapped = train.fourier_features(spark.createDataFrame(rows, ["_row_id", "label", "features"]), 3, out=20)
+    assert "ArrowEvalPython" in mapped._jdf.queryExecution().toString()
+    rng = np.random.default_rng(42)
+    w, b = rng.normal(scale=np.sqrt(2 / 3), size=(20, 3)), rng.uniform(0, 2 * np.pi, size=20)
+    for r in mapped.collect():
+        assert np.allclose(r.features.toArray(), np.cos(w @ rows[r["_row_id"]][2].toArray() + b) * np.sqrt(0.1), atol=1e-12)
+
+
+def test_enhanced_images_leave_in_frames_of_their_own_size(spark, monkeypatch):
+    from sievework.operators import images as im
+
+    monkeypatch.setattr(im, "OUT_BYTES", 1000)
+    row = lambda i: (f"{i}.png", 10, 10, 3, bytes(300), 300, False, False, False, False, False, False)
+    frames = [*im._frames(row(i) for i in range(10))]
+    assert [len(f) for f in frames] == [4, 4, 2] and [p for f in frames for p in f["path"]] == [f"{i}.png" for i in range(10)]
+    assert [*im._frames(iter([]))] == []
+    tiny = spark.createDataFrame([(f"{i}.png", 100, 2, 2, 1, bytearray(4)) for i in range(50)], "path string, file_size long, height int, width int, channels int, data binary")
+    big = im.enhance_images(tiny, False, False, False, (20, 20))
+    assert big.selectExpr("count(*)", "sum(length(data))").first()[:] == (50, 50 * 1200)
