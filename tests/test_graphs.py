@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from sievework.operators import graph as gg
@@ -10,6 +12,7 @@ from sievework.operators import graph_features as gf
 from sievework.operators import graph_motifs as gmo
 from sievework.operators import graph_paths as gp
 from sievework.operators import graph_rank as gr
+from sievework.session import cut
 
 
 def make(spark, edges, extra=(), directed=False):
@@ -286,3 +289,37 @@ def test_search_of_empty_and_edgeless_graphs(spark):
     assert sorted(map(tuple, gp.path_measures(lone).collect())) == [(1, 0, 0, 0, 0.0), (2, 0, 0, 0, 0.0)]
     none = gg.simple(gg.from_edges(spark.createDataFrame([], "src int, dst int")))
     assert gp.path_measures(none).count() == 0 and gp.closeness(none).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_in_many_blocks_leave_the_edges_in_place(spark, monkeypatch):
+    from sievework.operators import graph_matrix as gx
+
+    for name, value in (("VALUES", 8), ("CHUNK", 4), ("TASK", 16), ("LEAST_TASK", 1)):
+        monkeypatch.setattr(gx, name, value)
+    edges = sorted({(i, (i * i + 3 * j) % 40) for i in range(40) for j in range(1, 5)} | {(0, i) for i in range(1, 30)})
+    v = spark.createDataFrame([(i,) for i in range(42)], "id long")
+    links = spark.createDataFrame([(a, b, 0.5 + a) for a, b in edges] + [(None, 3, 1.0)], "id long, nbr long, w double")
+    m = gx.Matrix(v, links, 3)
+    start = cut(m.gathered(m.numbers.selectExpr("v", "id AS a", "id * id AS b", "1 AS c"), ["a", "b", "c"]))
+    got = m.step(start, lambda old, y: [old[0] + y])
+    table = next(t for t in plan(got).split("ShuffledHashJoin")[1].split("\n") if ":-" in t or ": " in t)
+    assert m.blocks > 3 and m.tasks > 3 and "Exchange" not in table
+    a, x = np.zeros((42, 42)), np.array([(i, i * i, 1) for i in range(42)], float)
+    for s, t in edges:
+        a[t, s] = 0.5 + s
+    rows = sorted(m.by_id(got, ["a", "b", "c"]).collect())
+    assert np.allclose([[r.a, r.b, r.c] for r in rows], x + a @ x)
+    monkeypatch.undo()
+    g = gg.simple(gg.from_edges(spark.createDataFrame(edges, "src long, dst long")))
+    both = np.zeros((40, 40))
+    for s, t in edges:
+        both[s, t] = both[t, s] = 1
+    values, vectors = np.linalg.eigh(both)
+    top = np.abs(vectors[:, -1])
+    assert np.allclose([r.eigenvector for r in sorted(gr.eigenvector_centrality(g, tol=1e-9).collect())], top, atol=1e-5)
+    assert np.allclose([r.katz for r in sorted(gr.katz_centrality(g, 0.01, tol=1e-10).collect())],
+                       (k := np.linalg.solve(np.eye(40) - 0.01 * both, np.ones(40))) / np.linalg.norm(k), atol=1e-7)
