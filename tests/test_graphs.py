@@ -323,3 +323,19 @@ def test_products_in_many_blocks_leave_the_edges_in_place(spark, monkeypatch):
     assert np.allclose([r.eigenvector for r in sorted(gr.eigenvector_centrality(g, tol=1e-9).collect())], top, atol=1e-5)
     assert np.allclose([r.katz for r in sorted(gr.katz_centrality(g, 0.01, tol=1e-10).collect())],
                        (k := np.linalg.solve(np.eye(40) - 0.01 * both, np.ones(40))) / np.linalg.norm(k), atol=1e-7)
+
+
+def test_square_count_cuts_hubs_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(gmo, "WEDGES", 16)
+    monkeypatch.setattr(gmo, "PIECE", 2)
+    edges = [(0, i) for i in range(2, 30)] + [(1, i) for i in range(2, 30, 2)] + [(i, i + 3) for i in range(2, 20)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0)
+    for u, w in itertools.combinations(near, 2):
+        c = len(near[u] & near[w])
+        for x in near[u] & near[w]:
+            want[x] += c - 1
+    assert {r.id: r.square_count for r in gmo.square_count(make(spark, edges)).collect()} == want
