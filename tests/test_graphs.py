@@ -339,3 +339,13 @@ def test_square_count_cuts_hubs_into_pieces(spark, monkeypatch):
         for x in near[u] & near[w]:
             want[x] += c - 1
     assert {r.id: r.square_count for r in gmo.square_count(make(spark, edges)).collect()} == want
+
+
+def test_components_and_tours_join_without_the_driver(spark):
+    from sievework.operators.components import min_label_components
+
+    g = make(spark, [(i, i + 1) for i in range(20)])
+    forest, trees = gb.spanning_forest(g)
+    found = [min_label_components(g.vertices, g.edges), gb._ranked_tour(forest, trees)]
+    assert not any("BroadcastHashJoin" in plan(df) for df in found)
+    assert {r.component for r in found[0].collect()} == {0}
