@@ -350,3 +350,36 @@ def test_components_and_tours_join_without_the_driver(spark):
     found = [min_label_components(g.vertices, g.edges), gb._ranked_tour(forest, trees)]
     assert not any("BroadcastHashJoin" in plan(df) for df in found)
     assert {r.component for r in found[0].collect()} == {0}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_search_inside_tasks(spark, directed, monkeypatch):
+    """Sparse and full products, hubs beyond the columns, narrow batches and several components, against a plain search; no level is a job."""
+    from sievework.operators import graph_local as gl
+    from sievework.operators import graph_search as gs
+
+    monkeypatch.setattr(gs, "_fold", None)  # the search by shuffles
+    rng = random.Random(9)
+    edges = {tuple(rng.sample(range(90), 2)) for _ in range(500)} | {(0, i) for i in range(20, 60)} | {(5, 5)}
+    edges |= {(100 + i, 101 + i) for i in range(30)} | {(i, 130) for i in range(100, 120, 3)}
+    edges = sorted(edges if directed else {(min(e), max(e)) for e in edges})
+    nodes = [*range(95), *range(100, 131)]
+    g = make(spark, edges, nodes, directed)
+    want = plain_search(nodes, edges, directed)
+    got = {r.id: r for r in gs.path_sums(g).collect()}
+    for x in nodes:
+        assert [got[x].reached, got[x].total, got[x].far] == want[x][:3]
+        assert got[x].between == pytest.approx(want[x][3])
+    assert {r.id: [r.reached, r.total, r.far] for r in gs.distance_sums(g).collect()} == {x: w[:3] for x, w in want.items()}
+    # The kernels again with other cuts of the same work.
+    a, b = np.array([*edges, *([] if directed else [(y, x) for x, y in edges if x != y])]).T
+    for chosen, rows, values in ((6, 4, 64), (10**9, 64, 1 << 20), (0, 1, 1 << 20)):
+        monkeypatch.setattr(gl, "CHOSEN", chosen)
+        monkeypatch.setattr(gl, "LEAST_ROWS", rows)
+        monkeypatch.setattr(gl, "VALUES", values)
+        at = np.arange(131)
+        for kind, wide in ((gl.paths, 7), (gl.distances, 1)):
+            sums = gl.search(kind, 131, a, b, directed, at, at, wide, range(-(-131 // wide)))
+            for x in nodes:
+                assert [s[x] for s in sums[:3]] == want[x][:3]
+                assert kind is gl.distances or sums[3][x] == pytest.approx(want[x][3])
