@@ -383,3 +383,30 @@ def test_search_inside_tasks(spark, directed, monkeypatch):
             for x in nodes:
                 assert [s[x] for s in sums[:3]] == want[x][:3]
                 assert kind is gl.distances or sums[3][x] == pytest.approx(want[x][3])
+
+
+def test_greedy_merges_inside_tasks(spark, monkeypatch):
+    """A star with 60 leaves, which takes a round a leaf, and random components: the same communities as by rounds of jobs."""
+    from sievework.functions.merging import xxhash64
+
+    rng = random.Random(4)
+    long = "a name of more than thirty-two bytes, ä, for the long hash "
+    edges = [(0, i) for i in range(1, 13)] + [(100 + i, 100 + j) for i, j in (rng.sample(range(14), 2) for _ in range(24))] + [(200, 201), (300, 300)]
+    for kind in ("int", "long", "string"):
+        e = spark.createDataFrame([(a, b, float(1 + (a * b) % 3), i) for i, (a, b) in enumerate(edges)], "src int, dst int, weight double, _row_id long")
+        name = f"concat(IF({{0}} % 3 = 0, '{long}', 'p'), {{0}})" if kind == "string" else f"CAST({{0}} AS {kind})"
+        g = gg.simple(gg.from_edges(e.selectExpr(f"{name.format('src')} AS src", f"{name.format('dst')} AS dst", "weight", "_row_id")))
+        hashed = g.vertices.selectExpr("id", "xxhash64(id, id) AS h").collect()
+        for r in hashed:
+            raw = r.id.encode() if kind == "string" else r.id.to_bytes(4 if kind == "int" else 8, "little", signed=True)
+            assert xxhash64(raw, xxhash64(raw)) == r.h % (1 << 64)
+        if kind == "long":
+            continue
+        by_jobs = {r.id: r.community for r in gc.greedy_communities(g, held=0).collect()}
+        assert {r.id: r.community for r in gc.greedy_communities(g, held=20).collect()} == by_jobs
+        assert {r.id: r.community for r in gc.greedy_communities(g).collect()} == by_jobs
+    star = gg.from_edges(spark.range(1, 400).selectExpr("0L AS src", "id AS dst"))
+    rounds = []
+    monkeypatch.setattr(gc, "_with_ends", lambda *x, f=gc._with_ends: rounds.append(1) or f(*x))
+    gc.greedy_communities(star)
+    assert len(rounds) == 1
