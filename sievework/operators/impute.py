@@ -122,8 +122,10 @@ def fill_forward_backward(df: DataFrame, cols: list[str]) -> DataFrame:
 def fill_knn(df: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
     """Mean of the k nearest rows that know the column, on z-scaled values, in original units.
 
-    A row without any comparable donor takes the column mean.
+    A row without any comparable donor takes the column mean. The rows are stored first: every search reads
+    them several times and would run the steps behind them again.
     """
+    df = cut(df)
     aggs = []
     for i, n in enumerate(cols):
         aggs += [F.avg(c(n)).alias(f"m{i}"), F.stddev_pop(c(n)).alias(f"s{i}"),

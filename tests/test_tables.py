@@ -232,3 +232,18 @@ def test_enhanced_images_leave_in_frames_of_their_own_size(spark, monkeypatch):
     tiny = spark.createDataFrame([(f"{i}.png", 100, 2, 2, 1, bytearray(4)) for i in range(50)], "path string, file_size long, height int, width int, channels int, data binary")
     big = im.enhance_images(tiny, False, False, False, (20, 20))
     assert big.selectExpr("count(*)", "sum(length(data))").first()[:] == (50, 50 * 1200)
+
+
+def test_nearest_fill_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i, float(i) if i % 5 else None, float(i * i) if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "_row_id long, a double, b double")
+    out = {r._row_id: (r.a, r.b) for r in impute.fill_knn(df.mapInArrow(count, df.schema), ["a", "b"], 3).collect()}
+    assert seen.value == 60
+    assert len(out) == 60 and all(x is not None for r in out.values() for x in r) and out[1] == (1.0, 1.0)
