@@ -9,6 +9,7 @@ from sievework.operators import graph_blocks as gb
 from sievework.operators import graph_clean as gcl
 from sievework.operators import graph_communities as gc
 from sievework.operators import graph_features as gf
+from sievework.operators import graph_lists
 from sievework.operators import graph_motifs as gmo
 from sievework.operators import graph_paths as gp
 from sievework.operators import graph_rank as gr
@@ -410,3 +411,25 @@ def test_greedy_merges_inside_tasks(spark, monkeypatch):
     monkeypatch.setattr(gc, "_with_ends", lambda *x, f=gc._with_ends: rounds.append(1) or f(*x))
     gc.greedy_communities(star)
     assert len(rounds) == 1
+
+
+def test_core_number_of_lists_in_parts(spark, monkeypatch):
+    """Parts that exchange values find the cores of peeling; a long path needs more turns than a part takes at once."""
+    rng = random.Random(5)
+    dense = {(min(e), max(e)) for e in (rng.sample(range(60), 2) for _ in range(400)) if max(e) % 7 or min(e) < 9}
+    path = [(i, i + 1) for i in range(1000, 3100)]
+    near = {}
+    for a, b in dense:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, k = {}, 0
+    while near:
+        v = min(near, key=lambda u: len(near[u]))
+        k = max(k, len(near[v]))
+        want[v] = k
+        for u in near.pop(v):
+            near[u].discard(v)
+    monkeypatch.setattr(graph_lists, "PART", 1200)
+    monkeypatch.setattr(graph_lists, "SIZE", 500)
+    got = {r.id: r.core_number for r in gr.core_number(make(spark, sorted(dense) + path, extra=[9999])).collect()}
+    assert got == want | {i: 1 for i in range(1000, 3101)} | {9999: 0}
