@@ -433,3 +433,36 @@ def test_core_number_of_lists_in_parts(spark, monkeypatch):
     monkeypatch.setattr(graph_lists, "SIZE", 500)
     got = {r.id: r.core_number for r in gr.core_number(make(spark, sorted(dense) + path, extra=[9999])).collect()}
     assert got == want | {i: 1 for i in range(1000, 3101)} | {9999: 0}
+
+
+def test_louvain_weighs_moves_in_parts(spark, monkeypatch):
+    """Moves weighed part by part, where the lists lie, are those of a plain search."""
+    monkeypatch.setattr(graph_lists, "PART", 40)
+    monkeypatch.setattr(graph_lists, "SIZE", 7)
+    rng = random.Random(3)
+    n, w = 30, {}
+    for a, b in (rng.sample(range(n), 2) for _ in range(90)):
+        w[min(a, b), max(a, b)] = float(rng.randrange(1, 9))
+    for a in range(n - 1):
+        w.setdefault((a, a + 1), 1.0)
+    near = {v: {a + b - v: x for (a, b), x in w.items() if v in (a, b)} for v in range(n)}
+    k, m2 = {v: sum(near[v].values()) for v in range(n)}, 2 * sum(w.values())
+    at = {v: rng.randrange(6) for v in range(n)}
+    total = {c: sum(k[v] for v in at if at[v] == c) for c in range(6)}
+    moved, due = set(rng.sample(range(n), 3)), set(rng.sample(range(n), 2))
+    lists = graph_lists.NeighbourLists(
+        spark.createDataFrame([(*e, x) for (a, b), x in w.items() for e in ((a, b), (b, a))], "v long, nbr long, w double"), n)
+    state = cut(spark.createDataFrame([(v, at[v], k[v], -v, v in due, v in moved) for v in range(n)], "v long, community long, k double, tie long, due boolean, moved boolean"))
+    assert lists.lists.count() > 3 and lists.blocks == 5
+    for every in (True, False):
+        want = {}
+        for v in range(n):
+            if every or v in due | moved or moved & set(near[v]):
+                value = lambda c: sum(x for u, x in near[v].items() if at[u] == c) - k[v] * (total[c] - k[v] * (c == at[v])) / m2
+                best, c = max((round(value(c), 10), c) for c in {at[u] for u in near[v]} - {at[v]} | {-1} if c >= 0)
+                if best > value(at[v]) + 1e-9:
+                    want[v] = (c, round(best - value(at[v]), 6))
+        got = gc._best_moves(lists, state, m2, every).collect()
+        assert {r.v: (r.c, round(r.gain, 6)) for r in got} == want
+        assert all((r.community, r.k, r.tie) == (at[r.v], k[r.v], -r.v) for r in got)
+    lists.free()
