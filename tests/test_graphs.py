@@ -466,3 +466,19 @@ def test_louvain_weighs_moves_in_parts(spark, monkeypatch):
         assert {r.v: (r.c, round(r.gain, 6)) for r in got} == want
         assert all((r.community, r.k, r.tie) == (at[r.v], k[r.v], -r.v) for r in got)
     lists.free()
+
+
+def test_feature_group_that_fails_ends_the_job(spark, monkeypatch):
+    def broken(g):
+        raise ValueError("broken measure")
+
+    g = make(spark, BARBELL)
+    assert [c for c in gf.node_features_advanced(g, ("motif",)).columns if c.startswith("motif_")]
+    monkeypatch.setattr(gmo, "square_count", broken)
+    with pytest.raises(ValueError, match="broken measure"):
+        gf.node_features_advanced(g, ("motif",))
+
+
+def test_walk_features_of_an_empty_graph(spark):
+    found = gf.node_features_advanced(make(spark, []), ("node2vec",), dim=3)
+    assert found.columns == ["id", "node2vec_dim_0", "node2vec_dim_1", "node2vec_dim_2"] and found.isEmpty()
