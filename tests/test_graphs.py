@@ -482,3 +482,14 @@ def test_feature_group_that_fails_ends_the_job(spark, monkeypatch):
 def test_walk_features_of_an_empty_graph(spark):
     found = gf.node_features_advanced(make(spark, []), ("node2vec",), dim=3)
     assert found.columns == ["id", "node2vec_dim_0", "node2vec_dim_1", "node2vec_dim_2"] and found.isEmpty()
+
+
+def test_path_stats_of_many_vertices(spark):
+    """Pairs beyond 32 bits: a star of 50,000 vertices, whose sums are known without a search."""
+    n = 50_000
+    g = gg.Graph(spark.range(n), spark.range(1, n).selectExpr("0L AS src", "id AS dst"), False)
+    sums = spark.range(n).selectExpr(
+        "id", f"{n - 1}L AS reached", f"IF(id = 0, {n - 1}L, {2 * n - 3}L) AS total", "IF(id = 0, 1L, 2L) AS far", "0D AS between")
+    found = gp.shortest_path_stats(g, measures=sums).first()
+    assert found.connected and (found.diameter, found.radius) == (2, 1)
+    assert found.average_path_length == pytest.approx(((n - 1) + (n - 1) * (2 * n - 3)) / (n * (n - 1)))
