@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.operators.components import min_label_components
-from sievework.session import cut
+from sievework.session import cut, shuffled
 
 # Hashes whose bits are counted at a time, so that a very long text needs no more memory.
 BLOCK = 1 << 15
@@ -146,7 +146,9 @@ def links(fps: DataFrame, max_bits: int = 3, cell: int = 20_000) -> DataFrame:
     hot = counts.filter(F.col("n") > cell).select(
         "anchor", F.ceil(F.col("h") / cell).cast("int").alias("hp"), F.ceil(F.col("n") / cell).cast("int").alias("mp")
     )
-    spread = rows.join(hot, "anchor", "left")
+    # At most one row for each `cell` rows. Without the hint Spark may broadcast the anchors, which it sizes
+    # as if a fingerprint had one.
+    spread = rows.join(F.broadcast(cut(hot)), "anchor", "left")
     normal = spread.filter("mp IS NULL").select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home", F.lit(True).alias("member"))
     split = spread.filter("mp IS NOT NULL AND hp > 0")
     salt = F.xxhash64("fp")
@@ -195,9 +197,9 @@ def components_of(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     nodes = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     roots = min_label_components(nodes, found).select(F.col("id").alias("fp"), "component")
-    labelled = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    labelled = classes.join(shuffled(roots), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    return labelled.join(lows, "root").select("fp", "n", "component_id")
+    return labelled.join(shuffled(lows), "root").select("fp", "n", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     labels = components_of(fps, max_bits).select("fp", "component_id")
-    return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(shuffled(labels), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, seed: int = 42) -> DataFrame:
@@ -227,11 +229,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labels = components_of(fps, max_bits).select("fp", "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("first")
     # Rows are reduced to one a fingerprint before the join, so a hot fingerprint is one row there.
-    per_class = fps.groupBy("fp").agg(first).join(labels, "fp")
+    per_class = fps.groupBy("fp").agg(first).join(shuffled(labels), "fp")
     group = [F.col("component_id").isNull(), F.coalesce("component_id", "fp")]
     kept = per_class.groupBy(*group).agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias("_kept_id"), F.col("first.row_hash").alias("_kept_hash"))
     names = docs.columns
     marked = docs.withColumn("_hash", row_hash(docs))
     same = (F.col("_hash") == F.col("_kept_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_hash", id_col]).select(*["`" + n.replace("`", "``") + "`" for n in names]).toDF(*own)
+    return marked.join(shuffled(kept), same, "left_semi").dropDuplicates(["_hash", id_col]).select(*["`" + n.replace("`", "``") + "`" for n in names]).toDF(*own)

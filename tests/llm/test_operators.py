@@ -81,6 +81,24 @@ def test_simhash_edge_rows(edge):
     assert simhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def recorded(monkeypatch, module):
+    """The plans of everything that `module` stores."""
+    plans, store = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), store(df))[1])
+    return plans
+
+
+def test_simhash_sends_no_documents_to_the_driver(spark, monkeypatch):
+    """Anchors are many rows for each fingerprint, which Spark sizes as one and used to broadcast."""
+    plans = recorded(monkeypatch, simhash)
+    docs = spark.createDataFrame([(i, f"a b c {i // 2} d e f") for i in range(40)], "doc_id long, text string")
+    for df in (simhash.near_duplicates(docs), simhash.drop_near_duplicates(docs)):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8
+    # What is broadcast is at most one row for each `cell` anchors.
+    assert all("BroadcastHashJoin [anchor" in line and "BuildRight" in line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line)
+
+
 def test_mixing_meets_every_marginal():
     rng = np.random.default_rng(2)
     mass = rng.random((4, 3, 2)) + 0.1
