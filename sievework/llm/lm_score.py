@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import cut, discard
+from sievework.session import cut, discard, shuffled
 
 SPACE, END = b" ", b"\n"
 # Texts are scored in blocks of about so many bytes, and their bytes are looked up in chunks; a
@@ -243,7 +243,7 @@ def code_lengths(pairs: DataFrame, depth: int) -> DataFrame:
             rows = rows.withColumns({"mixed": F.lit(0.0), "rest": F.lit(1.0), "above": F.lit(0.5)})
         else:
             up = state.select(F.col("ctx").alias("up"), "node", "mixed", "rest", F.col("stop").alias("above"))
-            rows = rows.withColumn("up", shorter(d - 1)).join(up, ["up", "node"]).drop("up")
+            rows = rows.withColumn("up", shorter(d - 1)).join(shuffled(up), ["up", "node"]).drop("up")
         seen, before = F.col("n") > 0, state
         state = cut(rows.select(
             "ctx", "node",
@@ -252,7 +252,7 @@ def code_lengths(pairs: DataFrame, depth: int) -> DataFrame:
             F.when(seen, F.col("rest") * (1 - F.col("share"))).otherwise(0.0).alias("rest")))
         discard(levels[d], *([before] if before else []))
     chance = F.when(F.col("bit") == 1, F.col("stop")).otherwise(1 - F.col("stop"))
-    out = cut(_bits(split, "key", "ctx").join(state.select("ctx", "node", "stop"), ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(chance)).alias("logp")))
+    out = cut(_bits(split, "key", "ctx").join(shuffled(state.select("ctx", "node", "stop")), ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(chance)).alias("logp")))
     discard(state)
     return out
 
@@ -283,7 +283,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_train, vocabulary = int(total["n"]), int(total["v"])
     logp = code_lengths(_pairs(entries), depth)
     none = F.lit(None)
-    tables = entries.filter("word IS NOT NULL").select("block", "word").join(words, "word").select(
+    tables = entries.filter("word IS NOT NULL").select("block", "word").join(shuffled(words), "word").select(
         "block", "word", F.col("c").alias("size"), none.cast("long").alias("bucket"), none.cast("binary").alias("packed"),
     ).unionByName(_values(entries, logp, buckets).withColumn("word", none.cast("binary")))
     floor = n_train + 0.5 * (vocabulary + 1)

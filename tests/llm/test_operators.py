@@ -413,6 +413,15 @@ def test_context_tree_against_recursion(spark):
     assert lm_score.score_documents(df.limit(0)).count() == 0
 
 
+def test_context_tree_sends_no_table_to_the_driver(spark, monkeypatch):
+    """Bits are eight rows for each symbol key, which Spark sizes as one and used to broadcast."""
+    plans = recorded(monkeypatch, lm_score)
+    scored = lm_score.score_documents(spark.createDataFrame([(i, f"the cat {i}") for i in range(20)], "doc_id long, text string"), depth=2)
+    plans.append(scored._jdf.queryExecution().executedPlan().toString())
+    assert scored.count() == 20 and sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_prefix_forest_recall(spark):
     rng = np.random.default_rng(8)
     data = rng.normal(size=(1500, 16))
